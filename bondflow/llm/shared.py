@@ -37,7 +37,7 @@ def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a DataFrame's size, known without reading it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def local_path(path: str) -> str:
