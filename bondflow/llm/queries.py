@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bondflow.llm import decontaminate, langid, linededup, sentencepieces, urlfilter, warc
+from bondflow.llm import decontaminate, langid, linededup, minhash, sentencepieces, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), words=4)
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_urls": op4_urls,
     "op5_lines": op5_lines,
     "op9_decontaminate": op9_decontaminate,
