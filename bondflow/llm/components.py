@@ -18,6 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     near = down.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else down
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least, _ = shared.kept(least, "least")  # written, so that Spark can split a hot node in the join
     moved = near.join(least, "u")
     moved = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.where("a <> b").distinct()

@@ -178,9 +178,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
 
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a key's nodes in different components that sizes and minima don't rule out. members: (key, node, component, n, minima), of keys with several components."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    members, _ = shared.kept(members, "across")
+    sizes, _ = shared.kept(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "minima")).alias("rows"))
+    blocks, _ = shared.kept(placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "minima")).alias("rows")), "blocks")
     other = blocks.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2"))
     least = MINIMA * percent / 100 - 5 * (MINIMA * percent / 100 * (1 - percent / 100)) ** 0.5
 
@@ -223,7 +224,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     keys = keyed(nodes)
     several, _ = shared.kept(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "keys")
     members, _ = shared.kept(keys.join(small(several), "key"), "members")
-    heads = members.groupBy("key").agg(F.min("node").alias("head"))
+    heads, _ = shared.kept(members.groupBy("key").agg(F.min("node").alias("head")), "heads")  # written, so that Spark can split a hot key in the join
     sized = nodes.select("node", "n")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = members.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -234,14 +235,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named, _ = shared.kept(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed, _ = shared.kept(mixed, "mixed")
     rest = named.join(mixed, "key").join(_low_bytes(nodes), "node")
     more = confirmed(across(rest, percent), docs, nodes, words, percent)
     found, _ = shared.kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
     # the id of a component: least of its nodes' least ids
     wide = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = wide.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = wide.join(least, "component").select("node", "component_id")
+    wide, _ = shared.kept(wide, "wide")
+    least, _ = shared.kept(wide.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    labels, _ = shared.kept(wide.join(least, "component").select("node", "component_id"), "labels")
     out = rows.select("id", "n", "node").join(labels, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
