@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bondflow.llm import decontaminate, langid, linededup, minhash, ngrams, sentencepieces, urlfilter, warc, winnowing
+from bondflow.llm import decontaminate, langid, linededup, minhash, ngrams, quality, sentencepieces, urlfilter, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_lines": op5_lines,
     "op6_lm_score": op6_lm_score,
+    "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,

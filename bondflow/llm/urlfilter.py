@@ -64,7 +64,7 @@ def rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) ->
     return name, verdict
 
 
-def _fitted(groups: DataFrame) -> DataFrame:
+def fitted(groups: DataFrame) -> DataFrame:
     """One row: a level's rate over all, and its prior strength by moments of the beta-binomial.
 
     With rate m and between-group variance v of the true rates, the strength is m(1-m)/v - 1, within [1, 1e6].
@@ -80,10 +80,10 @@ def _fitted(groups: DataFrame) -> DataFrame:
 def posteriors(outcomes: DataFrame, z: float = 2.0) -> DataFrame:
     """From rows (host, domain, suffix, n, bad), one a host: host with mean, low and high of its posterior bad rate."""
     levels = {c: outcomes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for c, keys in (("suffix", ["suffix"]), ("domain", ["domain", "suffix"]), ("host", ["host", "domain", "suffix"]))}
-    fitted = {c: _fitted(x.where("n > 0")).first() for c, x in levels.items()}  # three rows of two numbers
-    rate, below = fitted["suffix"]["rate"], None
+    fits = {c: fitted(x.where("n > 0")).first() for c, x in levels.items()}  # three rows of two numbers
+    rate, below = fits["suffix"]["rate"], None
     for c, x in levels.items():
-        s = F.lit(float(fitted[c]["strength"] if fitted[c]["strength"] is not None else 1e6))
+        s = F.lit(float(fits[c]["strength"] if fits[c]["strength"] is not None else 1e6))
         if below is None:
             x = x.withColumn("prior", F.lit(float(rate or 0.0)))
         else:
