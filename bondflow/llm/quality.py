@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None, rate
     chance = F.pmod(F.xxhash64(F.col("_id"), F.lit("quality sample")), F.lit(1 << 40)) / float(1 << 40)
     picked = seen.where(chance < F.when(F.col("bad") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))).limit(3 * per_class)
-    rows = docs.join(picked, docs[key] == picked["_id"]).where(F.length(text) <= most_chars).select("_id", text, "bad").limit(3 * per_class).collect()
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") <= most_chars)
+    rows = own.join(picked, F.col("_key") == F.col("_id")).select("_id", "_text", "bad").limit(3 * per_class).collect()
     rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     return train([r[1] or "" for r in rows], np.array([r[2] for r in rows], float), rate), rate
 
