@@ -59,7 +59,7 @@ strans AS (SELECT * FROM sroutep WHERE right_mol IS NOT NULL),
 pairs AS (SELECT left_mol, right_mol, arg_min(cnt, atom_id) AS cnt FROM (SELECT left_mol, right_mol, atom_id, count(*) AS cnt FROM trans GROUP BY ALL) GROUP BY ALL),
 ab AS (SELECT l.name AS left_name, r.name AS right_name, CAST(sum(cnt) AS BIGINT) AS n FROM pairs JOIN named l ON l.mol_id = left_mol JOIN named r ON r.mol_id = right_mol WHERE l.name <> r.name GROUP BY ALL),
 ordered AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, left_name DESC, right_name DESC) AS INTEGER) AS ord, * FROM ab),
-ranked_all AS (SELECT name, CAST(row_number() OVER (ORDER BY min(at)) AS INTEGER) AS idx FROM (SELECT left_name AS name, ord * 2 AS at FROM ordered UNION ALL SELECT right_name, ord * 2 + 1 FROM ordered) GROUP BY name),
+ranked_all AS (SELECT name, CAST(row_number() OVER (ORDER BY min(place)) AS INTEGER) AS idx FROM (SELECT left_name AS name, ord * 2 AS place FROM ordered UNION ALL SELECT right_name, ord * 2 + 1 FROM ordered) GROUP BY name),
 ranked AS (SELECT * FROM ranked_all WHERE idx <= 100),
 changed AS (SELECT frame, atom_id, left_mol, right_mol, false AS bad FROM (SELECT frame, atom_id, mol_id AS left_mol, lead(mol_id) OVER (PARTITION BY atom_id ORDER BY frame) AS right_mol FROM occ) WHERE right_mol IS NOT NULL AND left_mol <> right_mol),
 {_bipartite("bip", "changed")},
@@ -82,7 +82,7 @@ def viterbi_sql() -> str:
     p = [w(x) for x in signals.P]
     return f""",
 steps AS (SELECT count(*) AS n FROM frames),
-obs AS (SELECT mol_id, f.frame AS t, CAST(p.frame IS NOT NULL AS INTEGER) AS o FROM mol CROSS JOIN frames f LEFT JOIN pres p ON p.mol_id = mol.mol_id AND p.frame = f.frame),
+obs AS (SELECT mol.mol_id, f.frame AS t, CAST(p.frame IS NOT NULL AS INTEGER) AS o FROM mol CROSS JOIN frames f LEFT JOIN pres p ON p.mol_id = mol.mol_id AND p.frame = f.frame),
 fw(mol_id, t, v0, v1, b0, b1) AS (
   SELECT mol_id, t, CAST({p[0]} + {e[0]} AS BIGINT), CAST({p[1]} + {e[1]} AS BIGINT), 0, 0 FROM obs WHERE t = 0
   UNION ALL SELECT obs.mol_id, obs.t, CAST(greatest(v0 + {a[0][0]}, v1 + {a[1][0]}) + {e[0]} AS BIGINT), CAST(greatest(v0 + {a[0][1]}, v1 + {a[1][1]}) + {e[1]} AS BIGINT),

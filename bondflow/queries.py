@@ -377,8 +377,8 @@ def report_species(spark, sf_dir):
     return report.species(analysis(spark, sf_dir).ordered)
 
 
-@query(chain("""SELECT start, "end", pos FROM (SELECT start, "end", CAST(row_number() OVER (PARTITION BY start ORDER BY at) AS INTEGER) AS pos FROM (
-  SELECT start, "end", min(at) AS at FROM (SELECT left_name AS start, right_name AS "end", ord * 2 AS at FROM ordered UNION ALL SELECT right_name, left_name, ord * 2 + 1 FROM ordered) GROUP BY ALL)) WHERE pos <= 6"""))
+@query(chain("""SELECT start, "end", pos FROM (SELECT start, "end", CAST(row_number() OVER (PARTITION BY start ORDER BY place) AS INTEGER) AS pos FROM (
+  SELECT start, "end", min(place) AS place FROM (SELECT left_name AS start, right_name AS "end", ord * 2 AS place FROM ordered UNION ALL SELECT right_name, left_name, ord * 2 + 1 FROM ordered) GROUP BY ALL)) WHERE pos <= 6"""))
 def link_top6(spark, sf_dir):
     return report.links(analysis(spark, sf_dir).ordered)
 
@@ -394,11 +394,9 @@ def search_reactions(spark, sf_dir):
     return found.select("i", F.array_join("l", "+").alias("l"), F.array_join("r", "+").alias("r"), "n")
 
 
-@query(chain(f"""SELECT reaction, round(log10(n / ({LIMIT} * 1000 * 0.1 * 1e-15 * sum(c))), 6) AS log_k FROM (
-  SELECT reaction, n, frame, product(power(cnt / {LIMIT}, o)) AS c FROM (
-    SELECT reaction, a.n, s.frame, s.n AS cnt, o FROM (SELECT reaction, n, name, count(*) AS o, count(*) OVER (PARTITION BY reaction) AS need FROM abcd, unnest(string_split(split_part(reaction, '->', 1), '+')) t(name) GROUP BY ALL) a JOIN species s USING (name)
-  ) GROUP BY reaction, n, frame HAVING count(*) = (SELECT count(DISTINCT x) FROM unnest(string_split(split_part(reaction, '->', 1), '+')) t(x))
-) GROUP BY reaction, n"""))
+@query(chain(f"""WITH need AS (SELECT reaction, n, name, count(*) AS o FROM abcd, unnest(string_split(split_part(reaction, '->', 1), '+')) t(name) GROUP BY ALL),
+kinds AS (SELECT reaction, count(*) AS kinds FROM need GROUP BY ALL),
+terms AS (SELECT reaction, need.n, s.frame, product(power(s.n / {LIMIT}, o)) AS c, count(*) AS have FROM need JOIN species s USING (name) GROUP BY ALL) SELECT reaction, round(log10(n / ({LIMIT} * (1000 * 0.1 * 1e-15) * sum(c))), 6) AS log_k FROM terms JOIN kinds USING (reaction) WHERE have = kinds GROUP BY reaction, n"""))
 def rate_constants(spark, sf_dir):
     a = analysis(spark, sf_dir)
     found = rates.rate_constants(a.species, events.frequencies(a.events), CELL, 0.1)
