@@ -214,7 +214,7 @@ def _joined(docs: DataFrame, numbered: DataFrame, rows: DataFrame, size: int, pl
     docs, _ = keep(docs.withColumn("id", F.monotonically_increasing_id()), "docs")
     text = F.col("row").getField(docs.schema["row"].dataType.names[place])
     seeds = rows.where(f"length < {size}").select("length", "hash").distinct()
-    met = docs.select("id", text).mapInArrow(_doc_rows(size, lengths), "id bigint, length int, hash bigint").distinct().join(seeds, ["length", "hash"])
+    met = docs.select("id", text.alias("text")).mapInArrow(_doc_rows(size, lengths), "id bigint, length int, hash bigint").distinct().join(seeds, ["length", "hash"])
     pairs = met.join(rows, ["length", "hash"]).select("id", "item").distinct()
     windows = pairs.join(rows, "item").groupBy("id").agg(F.collect_list(F.struct("item", "length", "hash")).alias("windows"))
     named = pairs.join(numbered.select("item", "name").distinct(), "item").groupBy("id").agg(F.collect_list(F.struct("item", "name")).alias("names"))
