@@ -35,9 +35,15 @@ def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Estimates above this are Catalyst's way to say that it doesn't know, or products of joined sizes
+KNOWN_BYTES = 1 << 50
+ROW_BYTES = 4096
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's size, known without reading it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of a DataFrame's size, known without reading it; where it has none, its rows are counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < KNOWN_BYTES else df.count() * ROW_BYTES
 
 
 def local_path(path: str) -> str:
