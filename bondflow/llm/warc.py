@@ -23,26 +23,48 @@ record and reads none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from bondflow.llm import shared
+from bondflow.llm import linededup, shared
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
 
 
 def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Adds bytes, digest and original (the id that a revisit refers to, else null) to rows of (id, url, payload)."""
+    """Adds bytes, digest and original (the id that a revisit refers to, else null) to rows of (id, url, payload).
+
+    A Bloom filter of digests that occur twice, of a bounded size, parts rows that may share
+    their payload from the others: only the former are shuffled, with an exact join.
+    """
     raw = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
     rows = rows.withColumn("bytes", F.octet_length(raw).cast("bigint")).withColumn("digest", F.sha1(raw))
-    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("original")).where("n > 1 and original is not null").select("digest", "original")
-    long = rows.where(F.col("bytes") >= least_bytes).join(groups.hint("shuffle_hash"), "digest", "left")
-    long = long.withColumn("original", F.when(~F.col("id").eqNullSafe(F.col("original")), F.col("original")))
-    short = rows.where(F.col("bytes") < least_bytes).withColumn("original", F.lit(None).cast(rows.schema["id"].dataType))
-    return long.unionByName(short)
+    hashed = F.when(F.col("bytes") >= least_bytes, F.xxhash64("digest"))
+    slice_bits = 1 << int(max(1 << 20, min(1 << 28, shared.input_bytes(rows) // 32)) // linededup.SLICES).bit_length()
+    found = rows.select(hashed.alias("h"), "id", "digest").where("h is not null")
+    sent = rows.sparkSession.sparkContext.broadcast(linededup.seen_twice(found, slice_bits))
+    groups, _ = shared.kept(found.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("original")).where("n > 1 and original is not null").select("digest", "original"), "repeats")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = sent.value
+        for batch in batches:
+            h = pc.fill_null(batch.column(1), 0).to_numpy()
+            maybe = linededup.test(twice, *linededup.bits(h, slice_bits)) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maybe)], names=["row", "maybe"])
+
+    packed = rows.select(F.struct("id", "url", "payload", "bytes", "digest").alias("row"), hashed.alias("h"))
+    flagged = packed.mapInArrow(flag, f"row {packed.schema['row'].dataType.simpleString()}, maybe boolean")
+    alone = flagged.where(~F.col("maybe")).select("row.*").withColumn("original", F.lit(None).cast(rows.schema["id"].dataType))
+    several = flagged.where("maybe").select("row.*").join(groups.hint("shuffle_hash"), "digest", "left")
+    several = several.withColumn("original", F.when(~F.col("id").eqNullSafe(F.col("original")), F.col("original")))
+    return several.unionByName(alone)
 
 
 def record(id_: Column, url: Column, payload: Column, size: Column, digest: Column, original: Column) -> Column:
@@ -111,14 +133,16 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     rows = all_.select("*", F.octet_length("body").cast("bigint").alias("size"), *(c.alias(n) for n, c in fields.items()))
     rows = rows.withColumn("whole", (F.col("length") + F.col("head_bytes") + 8 <= F.col("size")))
     rows = rows.withColumn("sha1", F.when(F.col("whole"), F.sha1(own))).drop("body")
-    rows, _ = shared.kept(rows, "pieces")
+    rows, path = shared.kept(rows, "pieces")
     step = F.col("size") + len(MAGIC)
     parts = rows.groupBy("file", "part").agg(F.sum(step).alias("total"))
     parts = parts.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     before = F.coalesce(F.sum(step).over(Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("inside", before).join(parts, ["file", "part"])
     rows = rows.withColumn("place", F.col("base") + F.col("inside") - len(MAGIC)).where("place >= 0")
-    return rows.select("file", "place", (F.col("place") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4).alias("next"), "file_size", "size", "seq", "whole", "sha1", *CANDIDATE)
+    found, _ = shared.kept(rows.select("file", "place", (F.col("place") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4).alias("next"), "file_size", "size", "seq", "whole", "sha1", *CANDIDATE), "candidates")
+    shared.delete(spark, path)
+    return found
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -148,7 +172,7 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records under path: file, place, header fields, payload_sha1 of the block as read, and its payload (binary) if asked for."""
-    found, _ = shared.kept(candidates(spark, path), "candidates")
+    found = candidates(spark, path)
     records = found.join(reachable(found), ["file", "place"])
     split = records.where(~F.col("whole"))
     if payloads or not split.isEmpty():
