@@ -114,6 +114,7 @@ def repeated(docs: DataFrame, key: str, text: str, least_chars: int, least_docs:
 
     lines, _ = shared.kept(found.mapInArrow(suspects, f"id {kind}, line string"), "lines")
     chosen = lines.groupBy("line").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where((F.col("n") >= least_docs) & F.col("keeper").isNotNull()).select("line", "keeper")
+    chosen, _ = shared.kept(chosen, "chosen")  # written, so that Spark can split a hot line in the join
     return lines.join(chosen, "line").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "line")
 
 

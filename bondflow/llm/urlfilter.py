@@ -70,9 +70,9 @@ def fitted(groups: DataFrame) -> DataFrame:
     With rate m and between-group variance v of the true rates, the strength is m(1-m)/v - 1, within [1, 1e6].
     """
     sums = groups.agg(F.sum("n").alias("N"), F.sum("bad").alias("B"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("S"))
-    m = F.col("B") / F.col("N")
+    m = F.try_divide("B", "N")
     within = F.col("S") - F.col("N") * m * m  # sum over groups of n (rate - m)^2
-    spread = (within - (F.col("k") - 1) * m * (1 - m)) / (F.col("N") - F.col("N2") / F.col("N"))
+    spread = F.try_divide(within - (F.col("k") - 1) * m * (1 - m), F.col("N") - F.try_divide("N2", "N"))  # null for a single group
     raw = F.when((spread > 0) & (m > 0) & (m < 1), m * (1 - m) / spread - 1).otherwise(F.lit(1e6))
     return sums.select(F.least(F.greatest(raw, F.lit(1.0)), F.lit(1e6)).alias("strength"), F.coalesce(m, F.lit(0.0)).alias("rate"))
 
