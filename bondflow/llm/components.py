@@ -21,7 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least, _ = shared.kept(least, "least")  # written, so that Spark can split a hot node in the join
     moved = near.join(least, "u")
     moved = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    moved = moved.where("a <> b")
+    return moved if large else moved.distinct()  # what a large step repeats, the small step after it merges
 
 
 def _mark(edges: DataFrame) -> tuple:

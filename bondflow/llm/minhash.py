@@ -11,8 +11,8 @@ intersection / union is at least `percent` / 100, and grouped by connected compo
 3. A key's nodes are paired with its least node, and each pair is confirmed on the full
    sets. Components follow by large-star and small-star.
 4. Where a key still holds several components, its nodes are compared across components:
-   in blocks of bounded size, by their minima (a pair passes with at least 5 standard
-   deviations below what a similarity of 0.8 gives), then on the full sets. So no link
+   in blocks of bounded size, by MINIMA and then WIDE other minima (a pair passes that is
+   within 5 standard deviations of what a similarity of 0.8 gives), then on the full sets. So no link
    between components is lost to the choice of the least node, no list of a key's nodes
    is gathered, and pairs inside a component, which add nothing, are never made.
 
@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from bondflow.llm import shared, textops
 from bondflow.llm.components import components
 
-MINIMA, ROWS, BANDS = 128, 7, 64
+MINIMA, ROWS, BANDS, WIDE = 128, 7, 64, 1024
 BLOCK = 128
 ROUND = 1 << 13
 MOST_BROADCAST = 1_000_000
 
 _MULTIPLY = textops.numbers(2 * MINIMA, 3).astype(np.uint32) | np.uint32(1)
+_WIDE = textops.numbers(2 * WIDE, 4).astype(np.uint32) | np.uint32(1)
 _CHOICE = np.array([np.random.default_rng(i).permutation(MINIMA)[:ROWS] for i in range(BANDS)])
 
 
@@ -59,9 +60,9 @@ def sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, np.unique(g[low : high - words + 1]) if n >= words else textops.grams(h[low:high], int(n)) if n else np.zeros(0, np.uint64)
 
 
-def minima(group: list[np.ndarray]) -> np.ndarray:
-    """MINIMA hash minima of each non-empty set."""
-    out = np.full((len(group), MINIMA), 0xFFFFFFFF, np.uint32)
+def minima(group: list[np.ndarray], multiply: np.ndarray = _MULTIPLY) -> np.ndarray:
+    """Hash minima of each non-empty set, one for each pair of multipliers."""
+    out = np.full((len(group), len(multiply) // 2), 0xFFFFFFFF, np.uint32)
     lens = np.array([len(s) for s in group])
     ends = np.cumsum(lens)
     x = textops.mix(np.concatenate(group))
@@ -71,8 +72,8 @@ def minima(group: list[np.ndarray]) -> np.ndarray:
         a = int(np.searchsorted(ends, first, side="right"))
         b = int(np.searchsorted(ends, end, side="left")) + 1
         starts = np.maximum((ends - lens)[a:b], first) - first
-        for m in range(MINIMA):
-            y = low[first:end] * _MULTIPLY[2 * m] + high[first:end] * _MULTIPLY[2 * m + 1]
+        for m in range(out.shape[1]):
+            y = low[first:end] * multiply[2 * m] + high[first:end] * multiply[2 * m + 1]
             y ^= y >> np.uint32(15)
             out[a:b, m] = np.minimum(out[a:b, m], np.minimum.reduceat(y, starts))
     return out
@@ -148,10 +149,8 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough. docs: (id, text); nodes: (node, rep, n)."""
-    pairs, _ = shared.kept(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the wanted nodes, read again from a document of each. docs: (id, text); nodes: (node, rep, n)."""
     reps, _ = shared.kept(nodes.join(small(wanted), "node", "left_semi").select("rep").distinct(), "reps")
     texts = docs.join(small(reps), docs["id"].eqNullSafe(reps["rep"]), "left_semi")
 
@@ -161,7 +160,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
                 own = [s for _, s in sets(batch.column(0).slice(first, 100), words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "set"])
 
-    full, _ = shared.kept(texts.select("text").mapInArrow(load, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    return shared.kept(texts.select("text").mapInArrow(load, "node binary, set binary").dropDuplicates(["node"]), "sets")[0]
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    pairs, _ = shared.kept(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = full_sets(wanted, docs, nodes, words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +189,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
     blocks, _ = shared.kept(placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "minima")).alias("rows")), "blocks")
     other = blocks.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2"))
-    least = MINIMA * percent / 100 - 5 * (MINIMA * percent / 100 * (1 - percent / 100)) ** 0.5
+    p = percent / 100
+    few, many = (n * p - 5 * (n * p * (1 - p)) ** 0.5 for n in (MINIMA, WIDE))
 
     def side(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         node, component, n, low = column.flatten()
-        return node, np.array(component.to_pylist(), dtype=object), n.to_numpy(), textops.raw(low)[0].reshape(-1, MINIMA)
+        return node, np.array(component.to_pylist(), dtype=object), n.to_numpy(), textops.raw(low)[0].reshape(-1, WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +204,11 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                 node2, component2, n2, low2 = side(batch.column(1)[i].values)
                 near = (component[:, None] != component2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :]))
                 a, b = np.nonzero(np.triu(near) if same else near)
-                right = (low[a] == low2[b]).sum(axis=1) >= least
+                right = np.zeros(len(a), bool)
+                for first in range(0, len(a), 4096):
+                    c, d = a[first : first + 4096], b[first : first + 4096]
+                    hope = np.flatnonzero((low[c, :MINIMA] == low2[d, :MINIMA]).sum(axis=1) >= few)
+                    right[first + hope] = (low[c[hope]] == low2[d[hope]]).sum(axis=1) >= many
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(a[right])), node2.take(pa.array(b[right]))], names=["a", "b"])
 
     both = blocks.join(other, "key").where("block <= block2").select("rows", "rows2", (F.col("block") == F.col("block2")).alias("same"))
@@ -205,15 +216,17 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _low_bytes(nodes: DataFrame) -> DataFrame:
-    """The lowest byte of each of the minima, for comparisons."""
+def wide_minima(full: DataFrame) -> DataFrame:
+    """(node, n, minima): the lowest byte of each of WIDE minima of (node, set), for comparisons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = textops.raw(batch.column(2))[0].view(np.uint32).reshape(-1, MINIMA).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(low)], names=["node", "n", "minima"])
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                own = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), _binary(minima(own, _WIDE).astype(np.uint8))], names=["node", "n", "minima"])
 
-    return nodes.select("node", "n", "minima").mapInArrow(run, "node binary, n bigint, minima binary")
+    return full.mapInArrow(run, "node binary, n bigint, minima binary")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -236,7 +249,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named, _ = shared.kept(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed, _ = shared.kept(mixed, "mixed")
-    rest = named.join(mixed, "key").join(_low_bytes(nodes), "node")
+    rest = named.join(mixed, "key")
+    rest = rest.join(wide_minima(full_sets(rest.select("node").distinct(), docs, nodes, words)), "node")
     more = confirmed(across(rest, percent), docs, nodes, words, percent)
     found, _ = shared.kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
