@@ -183,25 +183,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a key's nodes in different components that sizes and minima don't rule out. members: (key, node, component, n, minima), of keys with several components."""
+    """Pairs (a, b) of a key's nodes in different components that sizes and minima don't rule out. members: (key, node, component, n, minima, keys), of keys with several components; keys: all those of the node.
+
+    A pair that shares several keys comes from the least of them alone.
+    """
     members, _ = shared.kept(members, "across")
     sizes, _ = shared.kept(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    blocks, _ = shared.kept(placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "minima")).alias("rows")), "blocks")
+    blocks, _ = shared.kept(placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "minima", "keys")).alias("rows")), "blocks")
     other = blocks.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2"))
     p = percent / 100
     few, many = (n * p - 5 * (n * p * (1 - p)) ** 0.5 for n in (MINIMA, WIDE))
 
-    def side(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        node, component, n, low = column.flatten()
-        return node, np.array(component.to_pylist(), dtype=object), n.to_numpy(), textops.raw(low)[0].reshape(-1, WIDE)
+    def side(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[set]]:
+        node, component, n, low, keys = column.flatten()
+        return node, np.array(component.to_pylist(), dtype=object), n.to_numpy(), textops.raw(low)[0].reshape(-1, WIDE), [set(k) for k in keys.to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 same = batch.column(2)[i].as_py()
-                node, component, n, low = side(batch.column(0)[i].values)
-                node2, component2, n2, low2 = side(batch.column(1)[i].values)
+                node, component, n, low, keys = side(batch.column(0)[i].values)
+                node2, component2, n2, low2, keys2 = side(batch.column(1)[i].values)
+                key = batch.column(3)[i].as_py()
                 near = (component[:, None] != component2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :]))
                 a, b = np.nonzero(np.triu(near) if same else near)
                 right = np.zeros(len(a), bool)
@@ -209,9 +213,11 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     c, d = a[first : first + 4096], b[first : first + 4096]
                     hope = np.flatnonzero((low[c, :MINIMA] == low2[d, :MINIMA]).sum(axis=1) >= few)
                     right[first + hope] = (low[c[hope]] == low2[d[hope]]).sum(axis=1) >= many
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(a[right])), node2.take(pa.array(b[right]))], names=["a", "b"])
+                a, b = a[right], b[right]
+                first = np.array([min(keys[x] & keys2[y]) == key for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a[first])), node2.take(pa.array(b[first]))], names=["a", "b"])
 
-    both = blocks.join(other, "key").where("block <= block2").select("rows", "rows2", (F.col("block") == F.col("block2")).alias("same"))
+    both = blocks.join(other, "key").where("block <= block2").select("rows", "rows2", (F.col("block") == F.col("block2")).alias("same"), "key")
     found = both.mapInArrow(run, "a binary, b binary")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -250,7 +256,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed, _ = shared.kept(mixed, "mixed")
     rest = named.join(mixed, "key")
-    rest = rest.join(wide_minima(full_sets(rest.select("node").distinct(), docs, nodes, words)), "node")
+    own = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    rest = rest.join(own, "node").join(wide_minima(full_sets(rest.select("node").distinct(), docs, nodes, words)), "node")
     more = confirmed(across(rest, percent), docs, nodes, words, percent)
     found, _ = shared.kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
