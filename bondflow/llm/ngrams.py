@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from bondflow.llm import monotone, shared, textops
 
 END = np.uint64(0x243F6A8885A308D3)
-PART_1, PART_2 = 48 << 20, 24 << 20
+PART_1, PART_2 = 32 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
