@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from bondflow.llm import minhash
@@ -71,3 +72,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(20)}
+
+
+def test_bands_miss_as_few_pairs_as_independent_ones():
+    pairs, both, own = 12_000, 28, 6  # similarity 0.7, where misses are frequent enough to be counted
+    x = np.random.default_rng(1).integers(0, 1 << 64, (pairs, both + 2 * own), dtype=np.uint64)
+    one, two = x[:, : both + own], np.concatenate([x[:, :both], x[:, both + own :]], axis=1)
+    shared = (minhash.band_keys(minhash.minima(list(one))) == minhash.band_keys(minhash.minima(list(two)))).any(axis=1)
+    expected = pairs * (1 - 0.7**7) ** 64
+    assert (~shared).sum() < expected + 5 * expected**0.5
