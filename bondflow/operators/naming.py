@@ -2,8 +2,9 @@
 
 A name is a linear text of the molecule's graph that does not depend on atom numbers:
 atoms are coloured by element and refined by their neighbours' colours and bond orders;
-ties are tried one by one and the least text is taken. Trees and small rings need few
-tries; where a molecule would need more than `TRIES`, the name falls back to its formula.
+ties are tried one by one and the least text is taken. Two orders that give the same text
+show an automorphism; ties that it maps to tried ones, and the rest of a branch that it maps
+to a finished one, are left out, so the search ends with the least text for any molecule.
 Names are made once for each distinct molecule.
 """
 
@@ -14,19 +15,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bondflow.functions import names as formulas
 
-TRIES = 2000
 #: Signs of bond orders in names
 SIGNS = {1: "", 2: "=", 3: "#", 12: ":"}
 
 
-class TooSymmetric(ValueError):
-    pass
-
-
 def _refined(colours: list[int], near: list[dict[int, int]]) -> list[int]:
     while True:
         keys = [(c, tuple(sorted((o, colours[j]) for j, o in near[i].items()))) for i, c in enumerate(colours)]
@@ -53,34 +48,59 @@ def canonical(elements: list[str], bonds: list[tuple[int, int, int]]) -> str:
     for a, b, o in bonds:
         near[a][b] = near[b][a] = o
     first = {e: i for i, e in enumerate(sorted(set(elements)))}
-    best: str | None = None
-    stack = [_refined([first[e] for e in elements], near)]
-    tries = 0
-    while stack:
-        colours = stack.pop()
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(colours):
-            groups.setdefault(c, []).append(i)
-        tied = next((g for _, g in sorted(groups.items()) if len(g) > 1), None)
-        if tied is None:
-            text = _text(sorted(range(len(elements)), key=lambda i: colours[i]), elements, near)
-            best = text if best is None else min(best, text)
-            continue
-        twins = all(near[i] == near[tied[0]] for i in tied)  # atoms with the same neighbours: any of them will do
-        for i in tied[:1] if twins else tied:
-            tries += 1
-            if tries > TRIES:
-                raise TooSymmetric
-            stack.append(_refined([2 * c + (j != i) for j, c in enumerate(colours)], near))
-    return best or ""
+    path: list[int] = []  # the atoms set apart so far
+    frames = [_frame(_refined([first[e] for e in elements], near), near)]
+    known: list[tuple[str, list[int], list[int]]] = []  # text, order and path of the first leaf and of the least
+    same: list[list[int]] = []  # automorphisms
+    while frames:
+        colours, tied, tried = frames[-1]
+        if not tied:
+            order = sorted(range(len(elements)), key=lambda i: colours[i])
+            text = _text(order, elements, near)
+            like = next((k for k in known if k[0] == text), None)
+            if like is None:
+                known = [known[0], min(known[-1], (text, order, list(path)))] if known else [(text, order, list(path))]
+                depth = len(path) - 1
+            else:  # the branch where the paths part is a copy of a finished one
+                same.append([b for _, b in sorted(zip(like[1], order, strict=True))])
+                depth = next(d for d, (a, b) in enumerate(zip(like[2], path, strict=True)) if a != b)
+        else:
+            done = _reached(tried, [g for g in same if all(g[i] == i for i in path)])
+            one = next((i for i in tied if i not in done), None)
+            if one is not None:
+                tried.append(one)
+                path.append(one)
+                frames.append(_frame(_refined([2 * c + (j != one) for j, c in enumerate(colours)], near), near))
+                continue
+            depth = len(path) - 1
+        del frames[depth + 1 :], path[max(depth, 0) :]
+    return known[-1][0] if known else ""
+
+
+def _frame(colours: list[int], near: list[dict[int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Colours, the tied atoms to try (none if all colours differ), and those that were tried."""
+    groups: dict[int, list[int]] = {}
+    for i, c in enumerate(colours):
+        groups.setdefault(c, []).append(i)
+    tied = next((g for _, g in sorted(groups.items()) if len(g) > 1), [])
+    twins = all(near[i] == near[tied[0]] for i in tied)  # atoms with the same neighbours: any of them will do
+    return colours, tied[:1] if twins else tied, []
+
+
+def _reached(atoms: list[int], same: list[list[int]]) -> set[int]:
+    """The atoms and all that automorphisms make of them."""
+    done, new = set(atoms), list(atoms)
+    while new:
+        i = new.pop()
+        for g in same:
+            if g[i] not in done:
+                done.add(g[i])
+                new.append(g[i])
+    return done
 
 
 def named(molecules: DataFrame, atoms: DataFrame, orders: bool = True) -> DataFrame:
-    """(mol_id, name): canonical names, of bond orders too or of bonds alone.
-
-    A molecule that can't be named gets `{formula}_unknownSMILES_{k}`, k counting such
-    molecules of the formula from 0 in the order of ids.
-    """
+    """(mol_id, name): canonical names, of bond orders too or of bonds alone."""
     with_elements = molecules.select("mol_id", "bonds", F.posexplode("atoms").alias("i", "atom_id")).join(atoms.select("atom_id", "element"), "atom_id")
     packed = with_elements.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("i", "atom_id", "element"))).alias("atoms"), F.first("bonds").alias("bonds"))
 
@@ -89,16 +109,10 @@ def named(molecules: DataFrame, atoms: DataFrame, orders: bool = True) -> DataFr
             out = []
             for own, bonds in zip(batch["atoms"], batch["bonds"], strict=True):
                 place = {x["atom_id"]: i for i, x in enumerate(own)}
-                try:
-                    out.append(canonical([x["element"] for x in own], [(place[x["a"]], place[x["b"]], x["level"] if orders else 1) for x in bonds]))
-                except TooSymmetric:
-                    out.append(None)
+                out.append(canonical([x["element"] for x in own], [(place[x["a"]], place[x["b"]], x["level"] if orders else 1) for x in bonds]))
             yield pd.DataFrame({"mol_id": batch["mol_id"], "name": out})
 
-    plain = packed.mapInPandas(run, "mol_id bigint, name string")
-    unknown = plain.where("name is null").join(formula_names(molecules, atoms).withColumnRenamed("name", "formula"), "mol_id")
-    ranked = unknown.select("mol_id", F.concat("formula", F.lit("_unknownSMILES_"), (F.row_number().over(Window.partitionBy("formula").orderBy("mol_id")) - 1).cast("string")).alias("name"))
-    return plain.where("name is not null").unionByName(ranked)
+    return packed.mapInPandas(run, "mol_id bigint, name string")
 
 
 def formula_names(molecules: DataFrame, atoms: DataFrame, elements: list[str] | None = None) -> DataFrame:

@@ -155,6 +155,34 @@ def test_brackets_and_formulas(spark):
     assert {r["name"]: r["d"] for r in df.withColumn("d", fn.display(df["name"])).collect()} == shown
 
 
+def test_canonical_names_of_symmetric_molecules():
+    import random
+
+    def branched(order):  # C30H62: a chain of twelve with six isopropyl groups, atoms in the given order
+        bonds = [(i, i + 1) for i in range(11)]
+        for k in range(6):
+            bonds += [(2 * k, 12 + 3 * k), (12 + 3 * k, 13 + 3 * k), (12 + 3 * k, 14 + 3 * k)]
+        elements, n = ["C"] * 30, 30
+        for c in range(30):
+            for _ in range(4 - sum(c in b for b in bonds[:29])):
+                bonds.append((c, n))
+                elements.append("H")
+                n += 1
+        out = [""] * n
+        for i, e in enumerate(elements):
+            out[order[i]] = e
+        return naming.canonical(out, [(order[a], order[b], 1) for a, b in bonds])
+
+    names = set()
+    for seed in range(3):
+        order = list(range(92))
+        random.Random(seed).shuffle(order)
+        names.add(branched(order))
+    assert len(names) == 1
+    cube = [(a, a ^ b, 1) for a in range(128) for b in (1, 2, 4, 8, 16, 32, 64) if a < a ^ b]  # 645,120 automorphisms
+    assert naming.canonical(["C"] * 128, cube) == naming.canonical(["C"] * 128, [(127 - a, 127 - b, o) for a, b, o in reversed(cube)])
+
+
 def test_canonical_names_tell_structures_apart():
     draw = random.Random(2)
     for _ in range(60):
