@@ -6,8 +6,12 @@ linear softmax gives each language's probability. Embeddings and weights are tra
 together by stochastic gradient descent in numpy on the driver, on a sample of at
 most `per_language` labelled rows a language (texts up to `most_chars`, whole).
 A part of that sample is kept out of training: it sets the softmax's temperature and
-the score below which a prediction is rejected (the score that all but `alpha` of the
-part's texts reach for their true language). Prediction reads whole texts in blocks;
+two bounds, below either of which a prediction is rejected: on its score, and on the
+share of the text's subwords that occur in training (a text of no known language may
+score high by a few of them). Each is what all but `alpha` / 2 of the part's rightly
+predicted texts reach, so about `alpha` of clean texts is rejected and rows with a
+wrong label count for neither. The bound on the score is half way from 1 / languages
+to 1 at least. Prediction reads whole texts in blocks;
 as embedding and weights are both linear, tasks get their product, one row a bucket.
 
 Defined results: a null text, or one without a letter, gets `und`, score 0, and is
@@ -78,21 +82,26 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
+    seen: np.ndarray  # which buckets occur in training
+    least_seen: float
 
-    def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def logits(self, text: str) -> tuple[np.ndarray, float]:
+        """Logits, and the share of the text's subwords that occur in training."""
+        total, n, seen = np.zeros(len(self.languages)), 0, 0
         for ids in subwords(text):
             total += self.table[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
-        return total / max(n, 1) + self.bias
+            seen += int(np.count_nonzero(self.seen[ids]))
+        return total / max(n, 1) + self.bias, seen / max(n, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, its probability, and whether the prediction is rejected."""
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        p = softmax(self.logits(text) / self.temperature)
+        logits, seen = self.logits(text)
+        p = softmax(logits / self.temperature)
         best = int(np.argmax(p))
-        return self.languages[best], float(p[best]), bool(p[best] < self.least)
+        return self.languages[best], float(p[best]), bool(p[best] < self.least or seen < self.least_seen)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -100,12 +109,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], width: int = 12, epochs: int = 4, rate: float = 8.0, calibrate: float = 0.2, alpha: float = 0.001, seed: int = 7) -> Model:
-    """Fits embeddings, weights, temperature and the rejection bound."""
+def train(texts: list[str], labels: list[str], width: int = 12, epochs: int = 4, rate: float = 8.0, calibrate: float = 0.2, alpha: float = 0.01, seed: int = 7) -> Model:
+    """Fits embeddings, weights, temperature and the rejection bounds."""
     rows = [(t, y) for t, y in zip(texts, labels, strict=True) if _LETTER.search(t)]
     languages = sorted({y for _, y in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS, bool), 0.0)
     number = {y: i for i, y in enumerate(languages)}
     draw = np.random.default_rng(seed)
     bags = [(*bag(t), number[y]) for t, y in rows]
@@ -127,13 +136,21 @@ def train(texts: list[str], labels: list[str], width: int = 12, epochs: int = 4,
             weight -= 0.02 * step * np.outer(hidden, gap)
             bias -= 0.01 * step * gap
             embed[ids] -= step * share[:, None] * back
-    model = Model(languages, (embed @ weight).astype(np.float32), bias, 1.0, 0.0)
+    seen = np.zeros(BUCKETS, bool)
+    for ids, *_ in learn:
+        seen[ids] = True
+    model = Model(languages, (embed @ weight).astype(np.float32), bias, 1.0, 0.0, seen, 0.0)
     scores = np.array([share @ model.table[ids] + bias for ids, share, _ in check])
     truth = np.array([y for *_, y in check])
     own = np.arange(len(truth))
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
     model.temperature = float(min(grid, key=lambda t: -np.log(softmax(scores / t)[own, truth] + 1e-12).sum()))
-    model.least = float(min(0.5, np.quantile(softmax(scores / model.temperature)[own, truth], alpha)))
+    right = scores.argmax(axis=1) == truth
+    model.least = (1 + 1 / len(languages)) / 2
+    if right.any():
+        model.least = max(model.least, float(np.quantile(softmax(scores / model.temperature)[own, truth][right], alpha / 2)))
+        model.least_seen = float(np.quantile(np.array([share[seen[ids]].sum() for ids, share, _ in check])[right], alpha / 2))
+    model.least, model.least_seen = model.least - 1e-9, model.least_seen - 1e-9  # sums in another order may differ by as much
     return model
 
 

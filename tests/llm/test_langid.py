@@ -1,3 +1,5 @@
+import random
+
 import pyarrow.parquet as pq
 
 from bondflow.llm import langid
@@ -29,3 +31,16 @@ def test_table(spark):
     assert [r["lang_pred"] for r in out] == ["und"] * 3 and not any(r["held_out"] for r in out if r["doc_id"] is None)
     assert langid.keep_known(docs).count() == 0
     assert langid.report(docs.limit(0)).count() == 0
+
+
+def test_unknown_languages_and_junk_are_rejected_despite_wrong_labels():
+    rows = [(t, y) for t, y in zip(*pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text", "lang"]).to_pydict().values(), strict=True) if t and y and len(t) <= 20_000]
+    random.Random(1).shuffle(rows)
+    learn, other = rows[:3000], rows[3000:5000]
+    wrong = [(t, "de" if y != "de" else "en") if i % 100 == 0 else (t, y) for i, (t, y) in enumerate(learn)]
+    model = langid.train([t for t, _ in wrong], [y for _, y in wrong])
+    draw = random.Random(2)
+    planted = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "все люди рождаются свободными и равными", "すべての人間は生まれながらにして自由である"]
+    planted += ["x" * 500, "".join(draw.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(400))]
+    assert [t[:10] for t in planted if not model.predict(t)[2]] == []
+    assert sum(model.predict(t)[2] for t, _ in other) <= 0.03 * len(other)
