@@ -19,7 +19,8 @@ Hashes have 64 bits; two different windows meet by chance once in some 10^19 pai
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null
 or wordless item has no window. Repeated rows are judged each by itself; items with
-equal ids and different texts count as one item. An empty benchmark leaves all
+equal ids and different texts count as one item. Windows of items without an id hit
+words as all others do; only the ids of a document's items leave them out. An empty benchmark leaves all
 documents clean.
 """
 
@@ -148,7 +149,7 @@ def _judge(windows: Windows, names: dict[int, str], column: pa.Array) -> Iterato
         for t, i in zip(text.tolist(), item.tolist(), strict=True):
             met.setdefault(t, []).append(names[i])
         for row, (n, h) in enumerate(zip(words.counts().tolist(), np.diff(total).tolist(), strict=True)):
-            yield n, h, sorted(set(met.get(row, [])))
+            yield n, h, sorted({x for x in met.get(row, []) if x is not None})
 
 
 def _out(row: pa.Array, judged: list[tuple]) -> pa.RecordBatch:
@@ -163,7 +164,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     place = docs.columns.index(text)
     docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     schema = f"row {docs.schema['row'].dataType.simpleString()}, n_words bigint, n_hit bigint, items array<string>"
-    items = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null and text is not null")
+    items = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where("text is not null")  # items without an id share a number: xxhash64 of null
     numbered = items.select("name", F.xxhash64("name").alias("item"), "text")
     rows = numbered.select("item", "text").mapInArrow(item_rows(size), "item bigint, length int, hash bigint").distinct()
     if (small := rows.limit(most_words + 1).toArrow()).num_rows > most_words:

@@ -60,3 +60,14 @@ def test_clean_keeps_all_columns_and_rows_without_hits(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 2, 3, 4]
     assert decontaminate.clean(d, b.limit(0)).count() == 5
     assert decontaminate.clean(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("most_words", [10**6, 0])
+def test_items_without_an_id_hit_but_are_not_listed(spark, most_words):
+    full, short = " ".join(f"w{i}" for i in range(13)), "one two"
+    d = spark.createDataFrame([(1, full), (2, "a " + short), (3, "fine")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, full), (None, short), (7, short), (None, None)], "item_id bigint, text string")
+    got = decontaminate.hits(d, b, most_words=most_words).collect()
+    assert sorted((r["row"]["doc_id"], r["n_hit"], r["items"]) for r in got) == [(1, 13, []), (2, 2, ["7"]), (3, 0, [])]
+    rows = decontaminate.report(d, b, most_words=most_words).collect()
+    assert sorted((r["doc_id"], r["n_items"], r["contaminated"]) for r in rows) == [(1, 0, True), (2, 1, True), (3, 0, False)]
