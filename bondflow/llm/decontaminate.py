@@ -249,5 +249,10 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    return hits(docs, items, **options).where(~contaminated()).select("row.*")
+    """The documents without a hit word, with all their columns.
+
+    A passage counts however long the text around it, so the share rule of `contaminated`
+    plays no part. An item of a word or two takes every document that has it: leave such
+    items out of `items` if they aren't meant.
+    """
+    return hits(docs, items, **options).where("n_hit = 0").select("row.*")

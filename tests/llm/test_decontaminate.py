@@ -57,7 +57,7 @@ def test_clean_keeps_all_columns_and_rows_without_hits(spark):
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     out = decontaminate.clean(d, b)
     assert out.columns == d.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [2, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in out.collect()) == [2, 2, 4]  # the share of hit words does not matter
     assert decontaminate.clean(d, b.limit(0)).count() == 5
     assert decontaminate.clean(d.limit(0), b).count() == 0
 
