@@ -4,7 +4,9 @@ A text's subwords are the 1- to 4-letter runs of its words with their ends marke
 lower-cased, hashed to buckets. Its vector is the mean of the buckets' embeddings; a
 linear softmax gives each language's probability. Embeddings and weights are trained
 together by stochastic gradient descent in numpy on the driver, on a sample of at
-most `per_language` labelled rows a language (texts up to `most_chars`, whole).
+most `per_language` labelled rows a language and `most_rows` in all (texts up to
+`most_chars`, whole), of the `most_languages` languages with most rows; what other labels
+there are is not learned.
 A part of that sample is kept out of training: it sets the softmax's temperature and
 two bounds, below either of which a prediction is rejected: on its score, and on the
 share of the text's subwords that occur in training (a text of no known language may
@@ -14,8 +16,8 @@ wrong label count for neither. The bound on the score is half way from 1 / langu
 to 1 at least. Prediction reads whole texts in blocks;
 as embedding and weights are both linear, tasks get their product, one row a bucket.
 
-Defined results: a null text, or one without a letter, gets `und`, score 0, and is
-rejected. A text is judged by itself, so repeated rows and ties in order do not
+Defined results: a null text, or one without a letter (numerals such as \u2167 or \u00bd are
+none), gets `und`, score 0, and is rejected. A text is judged by itself, so repeated rows and ties in order do not
 matter; among equally probable languages the first by name wins. Rows with a null
 language or id are never learned from. Without any labelled row all get `und`.
 """
@@ -37,7 +39,7 @@ BUCKETS = 1 << 17
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # finds some numerals too
 BLOCK_CHARS = 1 << 17
 
 
@@ -75,6 +77,10 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, n / max(n.sum(), 1)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -96,7 +102,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, its probability, and whether the prediction is rejected."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         logits, seen = self.logits(text)
         p = softmax(logits / self.temperature)
@@ -111,7 +117,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[str], width: int = 12, epochs: int = 4, rate: float = 8.0, calibrate: float = 0.2, alpha: float = 0.01, seed: int = 7) -> Model:
     """Fits embeddings, weights, temperature and the rejection bounds."""
-    rows = [(t, y) for t, y in zip(texts, labels, strict=True) if _LETTER.search(t)]
+    rows = [(t, y) for t, y in zip(texts, labels, strict=True) if has_letter(t)]
     languages = sorted({y for _, y in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS, bool), 0.0)
@@ -159,15 +165,17 @@ def held_out(key: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, per_language: int = 1500, most_chars: int = 20_000, most_languages: int = 1000) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: about `per_language` of each language, by a hash of the id."""
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, per_language: int = 1500, most_chars: int = 20_000, most_languages: int = 1000, most_rows: int = 60_000) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows: about `per_language` of each language, fewer where that were more than `most_rows` in all, by a hash of the id."""
     usable = docs.where(F.col(key).isNotNull() & ~held_out(key, folds) & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & (F.length(text) <= most_chars))
-    sizes = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
+    usable = usable.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
         return []
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, per_language / r[1])))))
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
-    rows = usable.where(chance < share[F.col(lang)]).select(key, text, lang).limit(2 * per_language * len(sizes)).collect()
+    each = min(per_language, most_rows // len(sizes))
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))))
+    chance = F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
+    rows = usable.where(chance < share[F.col("lang")]).select("key", "text", "lang").limit(2 * each * len(sizes)).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
 
 

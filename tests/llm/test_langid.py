@@ -18,13 +18,21 @@ def test_held_out_accuracy(spark):
 
 def test_texts_without_letters_and_odd_rows():
     model = langid.train(["the cat and the dog are in the house"] * 20 + ["der hund und die katze sind im haus"] * 20, ["en"] * 20 + ["de"] * 20)
-    assert model.predict(None) == model.predict("") == model.predict("12 !? 3") == ("und", 0.0, True)
+    assert model.predict(None) == model.predict("") == model.predict("12 !? 3") == model.predict("² ½ Ⅷ ①_") == ("und", 0.0, True)
     assert model.predict("the house and the cat " * 5000)[0] == "en"
     assert model.predict("die katze und der hund")[0] == "de"
     assert model.predict("x" * 300_000)[0] in ("en", "de")
     assert langid.train([], []).predict("abc") == ("und", 0.0, True)
 
 
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", f"l{i % 7}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "count bigint, text string, n string")
+    got = langid.sample(docs, key="count", lang="n", per_language=100, most_rows=300, most_languages=5)
+    assert len({y for _, y in got}) == 5 and 100 < len(got) <= 600
+    assert len(langid.sample(docs, key="count", lang="n")) == sum(1 for r in langid.sample(docs, key="count", lang="n", most_rows=10**6))
+
+
 def test_table(spark):
     docs = spark.createDataFrame([(1, "abc", None, 1.0), (None, None, "en", 2.0), (1, "abc", None, 1.0)], "doc_id bigint, text string, lang string, score double")
     out = langid.report(docs).collect()
