@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 
@@ -12,7 +13,7 @@ _ONE = np.uint64(1)
 
 def _save(path: str, array: np.ndarray) -> None:
     """Writes a file at once: another attempt of the same task may write it too."""
-    own = f"{path}.{os.getpid()}"
+    own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
         np.save(f, array)
     os.replace(own, path)

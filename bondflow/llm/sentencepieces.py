@@ -6,8 +6,11 @@ the agenda. Text is cut first where no piece of the vocabulary can reach across,
 so each distinct cut is merged once per worker and then looked up; the memory of
 that table is bounded.
 
-`encode` compares each Arrow batch with the sentencepiece library (`check`):
-"all" rows, "none", or "first" (the first rows of each batch). A difference raises.
+Each Arrow batch is compared with the sentencepiece library (`check`), and a difference
+raises. "words": each word when it enters the table of known ones (so every word of every
+row has been compared), whole texts where spaces are doubled, lead or trail, and the first
+rows of each batch whole, which tests that words may be encoded by themselves. "all":
+every row whole. "none": nothing.
 
 Defined results: a null text counts as empty, and an empty text has the begin and
 end ids alone and decodes to an empty text. Repeated rows give repeated rows; an
@@ -55,6 +58,8 @@ class Agenda:
             raise ValueError("only models whose pieces have spaces in front are supported")
         self.joined = joined
         self.known = _Known(self.word_ids, remember)
+        self.fresh: list[tuple[str, bytes]] = []  # words, and texts with odd spaces, not yet compared with the library
+        self.odd: list[tuple[str, bytes]] = []
         self.parts = _Known(self.cut_ids, remember)
         self.ends = code(lib.bos_id()), code(lib.eos_id())
 
@@ -106,8 +111,10 @@ class Agenda:
 
     def word_ids(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
-        word = SPACE + word
-        return self.cut_ids(word) if len(word) <= 24 and "\n" not in word else self.run_ids(word)
+        run = SPACE + word
+        ids = self.cut_ids(run) if len(run) <= 24 and "\n" not in run else self.run_ids(run)
+        self.fresh.append((word, ids))
+        return ids
 
     def run_ids(self, run: str) -> bytes:
         """Cuts wherever no piece holds the two characters side by side: no merge can cross there."""
@@ -123,7 +130,9 @@ class Agenda:
             text = text.replace(SPACE, " ")  # the normaliser makes both the same symbol
         words = text.split(" ")
         if "" in words:
-            return b"".join([first, *map(self.run_ids, re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))), last])
+            ids = b"".join([first, *map(self.run_ids, re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))), last])
+            self.odd.append((text, ids))
+            return ids
         return b"".join([first, *map(self.known.__getitem__, words), last])
 
     def decode(self, ids: bytes) -> str:
@@ -135,6 +144,16 @@ class Agenda:
                 raise ValueError(f"ids differ from the library's for {text!r:.200}")
 
 
+    def agree_fresh(self) -> None:
+        """Compares what has been encoded for the first time since the last call."""
+        for rows, ends in ((self.fresh, False), (self.odd, True)):
+            if rows:
+                for (text, own), theirs in zip(rows, self.library.encode([t for t, _ in rows], add_bos=ends, add_eos=ends, num_threads=1), strict=True):
+                    if own != np.array(theirs, "<u4").tobytes():
+                        raise ValueError(f"ids differ from the library's for {text!r:.200}")
+                rows.clear()
+
+
 class _Known(dict):
     """What was made of texts met before; emptied when full, long texts and lines' ends stay out."""
 
@@ -161,10 +180,10 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def apply(df: DataFrame, model: bytes, row: Callable[[str | None, bytes, str], tuple], schema: str, key: str = "doc_id", text: str = "text", check: str = "all", slice_rows: int = 64) -> DataFrame:
+def apply(df: DataFrame, model: bytes, row: Callable[[str | None, bytes, str], tuple], schema: str, key: str = "doc_id", text: str = "text", check: str = "words", slice_rows: int = 64) -> DataFrame:
     """Encodes and decodes each text and gives row(text, ids, decoded) beside the key; schema names the columns after the key."""
-    if check not in ("all", "first", "none"):
-        raise ValueError(f"check is one of all, first, none, not {check}")
+    if check not in ("words", "all", "none"):
+        raise ValueError(f"check is one of words, all, none, not {check}")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +194,11 @@ def apply(df: DataFrame, model: bytes, row: Callable[[str | None, bytes, str], t
                 part = batch.slice(first, slice_rows)
                 texts = part.column(1).to_pylist()
                 ids = [own.encode(t) for t in texts]
-                if check == "all" or check == "first" and first == 0:
+                if check == "words":
+                    own.agree_fresh()
+                own.fresh.clear()
+                own.odd.clear()
+                if check == "all" or check == "words" and first == 0:
                     own.agree(texts, ids)
                 rows = [row(t, i, own.decode(i)) for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=names)

@@ -27,6 +27,22 @@ def test_a_wrong_id_is_noticed(model):
         own.agree(["abc"], [own.encode("abd")])
 
 
+def test_every_new_word_is_compared(model):
+    own = sentencepieces.Agenda(model)
+    for t in ("The end is near", "  two  spaces ", "a\nb ende"):
+        own.encode(t)
+    assert [w for w, _ in own.fresh] == ["The", "end", "is", "near", "a\nb", "ende"] and [t for t, _ in own.odd] == ["  two  spaces "]
+    own.agree_fresh()
+    assert not own.fresh and not own.odd
+    own.fresh.append(("abc", own.word_ids("abd")))
+    with pytest.raises(ValueError, match="differ"):
+        own.agree_fresh()
+    own.fresh.clear()
+    own.odd.append(("a  b", own.encode("a b")))
+    with pytest.raises(ValueError, match="differ"):
+        own.agree_fresh()
+
+
 def test_table(spark, model):
     rows = [(1, "The end", "x"), (2, None, "y"), (2, None, "y"), (3, "", "z"), (None, "a\nb", "w")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
