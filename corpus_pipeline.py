@@ -13,31 +13,31 @@ from bondflow.llm import decontaminate, langid, linededup, minhash, sentencepiec
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language prediction is not rejected."""
+    """Documents whose language prediction is not rejected; a null text, or one without a letter, goes."""
     return langid.keep_known(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that repeat across documents, save in their keeper."""
+    """Texts without the lines that repeat across documents, save in their keeper; every row stays, n_chars follows the text."""
     return linededup.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more. Wordless texts stay, as do rows that repeat the id of the one kept."""
     return minhash.deduplicate(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents without a word of a benchmark passage; a null or wordless text stays, an empty benchmark takes nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text, a row for each row; a null text counts as empty."""
     import public_tokenizers
 
     model = sentencepieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepieces.digests(docs, model, check="first")
+    return sentencepieces.digests(docs, model)
 
 
 STAGES = [
