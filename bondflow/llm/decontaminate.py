@@ -115,6 +115,7 @@ class Windows:
 def item_rows(size: int):
     """mapInArrow over (number, text): a row (item, length, hash, kept) for each window, and for each kept k-gram (length 0)."""
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(0).to_numpy(zero_copy_only=False)
@@ -175,6 +176,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     names = {r["item"]: r["name"] for r in numbered.select("item", "name").distinct().toLocalIterator()}
     sent = docs.sparkSession.sparkContext.broadcast((windows, names))
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, names = sent.value
         for batch in batches:
@@ -187,6 +189,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
 def _doc_rows(size: int, lengths: list[int]):
     """mapInArrow over (id, text): a row (id, length, hash) for each kept k-gram (length 0) and each window of a short length."""
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(0).to_numpy(zero_copy_only=False)
@@ -220,6 +223,7 @@ def _joined(docs: DataFrame, numbered: DataFrame, rows: DataFrame, size: int, pl
     windows = pairs.join(rows, "item").groupBy("id").agg(F.collect_list(F.struct("item", "length", "hash")).alias("windows"))
     named = pairs.join(numbered.select("item", "name").distinct(), "item").groupBy("id").agg(F.collect_list(F.struct("item", "name")).alias("names"))
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, out = batch.column(0), []

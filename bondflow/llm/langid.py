@@ -190,6 +190,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the input
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bondflow.llm import shared
+from bondflow.llm import shared, textops
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -73,6 +73,7 @@ def add(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, size: int) -> N
 def seen_twice(hashes: DataFrame, slice_bits: int) -> np.ndarray:
     """The filter of hashes seen at least twice: SLICES x slice_bits / 8 bytes."""
 
+    @textops.lean
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.zeros((SLICES, slice_bits // 8), np.uint8) for _ in range(2))
         for batch in batches:
@@ -106,6 +107,7 @@ def repeated(docs: DataFrame, key: str, text: str, least_chars: int, least_docs:
     sent = docs.sparkSession.sparkContext.broadcast(seen_twice(found, slice_bits))
     kind = docs.schema[key].dataType.simpleString()
 
+    @textops.lean
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
         for batch in batches:
@@ -127,6 +129,7 @@ def rewrite(docs: DataFrame, key: str = "doc_id", text: str = "text", least_char
     joined = rows.join(gone.hint("shuffle_hash"), rows["_id"].eqNullSafe(gone["id"]), "left").select("row", "gone")
     strip, lower = STRIPPED, str.maketrans(UPPER, LOWER)
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, out = batch.column(0), []

@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, node, keys) of each row of (id, text); node and keys are null for an empty set. Keys take less room than the minima they are made of."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, group, full = [], [], [], []
@@ -134,6 +135,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def keyed(nodes: DataFrame) -> DataFrame:
     """A row (key, node) for each band of each row of (node, keys)."""
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
@@ -155,13 +157,14 @@ def full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int)
     reps, _ = shared.kept(nodes.join(small(wanted), "node", "left_semi").select("rep").distinct(), "reps")
     texts = docs.join(small(reps), docs["id"].eqNullSafe(reps["rep"]), "left_semi")
 
+    @textops.lean
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 100):
                 own = [s for _, s in sets(batch.column(0).slice(first, 100), words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return shared.kept(texts.select("text").mapInArrow(load, "node binary, set binary").dropDuplicates(["node"]), "sets")[0]
+    return shared.kept(texts.select("text").mapInArrow(load, "node binary, set array<bigint>").dropDuplicates(["node"]), "sets")[0]
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -170,17 +173,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     full = full_sets(wanted, docs, nodes, words)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
     one, two = full.select(F.col("node").alias("a"), F.col("set").alias("x")), full.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
@@ -200,6 +195,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         node, component, n, low, keys = column.flatten()
         return node, np.array(component.to_pylist(), dtype=object), n.to_numpy(), textops.raw(low)[0].reshape(-1, WIDE), [set(k) for k in keys.to_pylist()]
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -226,11 +222,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 def wide_minima(full: DataFrame) -> DataFrame:
     """(node, n, minima): the lowest byte of each of WIDE minima of (node, set), for comparisons."""
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                own = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column(1)]
+                own = [v.values.to_numpy().view(np.uint64) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), _binary(minima(own, _WIDE).astype(np.uint8))], names=["node", "n", "minima"])
 
     return full.mapInArrow(run, "node binary, n bigint, minima binary")

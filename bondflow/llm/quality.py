@@ -162,6 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, site: str = "source", section: str
     model, rate = fit(docs, labels, key, text, **options)
     prior = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -12.0 if rate == 0 else 12.0
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = logits(model, batch.column(3)) if model else np.full(batch.num_rows, prior)

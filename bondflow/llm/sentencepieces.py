@@ -30,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bondflow.llm import textops
+
 SPACE = "▁"
 
 
 class Agenda:
     """Encoder and decoder for one BPE model."""
 
-    def __init__(self, model: bytes, remember: int = 500_000):
+    def __init__(self, model: bytes, remember: int = 200_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -186,6 +188,7 @@ def apply(df: DataFrame, model: bytes, row: Callable[[str | None, bytes, str], t
         raise ValueError(f"check is one of words, all, none, not {check}")
     kind = df.schema[key].dataType.simpleString()
 
+    @textops.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(model)
         names = [key, *(c.split()[0] for c in schema.split(", "))]
