@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +32,26 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """What runs inside gives Python at most so many bytes at a time: Spark's own bound of 64 MB is held twice over by each task while it grows."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
