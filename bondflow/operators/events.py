@@ -11,16 +11,23 @@ from pyspark.sql.window import Window
 from bondflow.operators.graph import labels
 
 
-def changed(spine: DataFrame, occupied: DataFrame) -> DataFrame:
-    """(frame, atom_id, left_mol, right_mol, bad): atoms whose molecule differs in the next frame.
+def changed(occupied: DataFrame, steps: int) -> DataFrame:
+    """(frame, atom_id, left_mol, right_mol, bad): atoms whose molecule differs in the next of the frames 0 to steps - 1.
 
-    spine: (atom_id, frame) of all cells; an empty cell is molecule 0. A change is bad if
-    either side is empty or in conflict.
+    An empty cell is molecule 0. A change is bad if either side is empty or in conflict. Only
+    occupied cells are looked at: one whose neighbour in time is missing has changed from or
+    to emptiness, and changes from emptiness to itself don't exist.
     """
-    full = spine.join(occupied, ["atom_id", "frame"], "left").select("atom_id", "frame", F.coalesce("mol_id", F.lit(0)).alias("left_mol"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
     own = Window.partitionBy("atom_id").orderBy("frame")
-    both = full.withColumn("right_mol", F.lead("left_mol").over(own)).withColumn("later", F.lead("conflict").over(own)).where("right_mol is not null and left_mol <> right_mol")
-    return both.select("frame", "atom_id", "left_mol", "right_mol", (F.col("conflict") | F.col("later") | (F.col("left_mol") == 0) | (F.col("right_mol") == 0)).alias("bad"))
+    near = {"before": F.lag("frame"), "next": F.lead("frame"), "next_mol": F.lead("mol_id"), "next_conflict": F.lead("conflict")}
+    cells = occupied.select("atom_id", "frame", "mol_id", "conflict", *(f.over(own).alias(c) for c, f in near.items()))
+    follows = F.coalesce(F.col("next") == F.col("frame") + 1, F.lit(False))
+    one = lambda frame, left, right, bad: F.struct(frame.alias("frame"), left.cast("bigint").alias("left_mol"), right.cast("bigint").alias("right_mol"), bad.alias("bad"))
+    begins = F.when((F.col("frame") > 0) & ~F.coalesce(F.col("before") == F.col("frame") - 1, F.lit(False)), one(F.col("frame") - 1, F.lit(0), F.col("mol_id"), F.lit(True)))
+    ends = F.when(~follows & (F.col("frame") < steps - 1), one(F.col("frame"), F.col("mol_id"), F.lit(0), F.lit(True)))
+    goes = F.when(follows & (F.col("next_mol") != F.col("mol_id")), one(F.col("frame"), F.col("mol_id"), F.col("next_mol"), F.col("conflict") | F.col("next_conflict")))
+    found = cells.select("atom_id", F.explode(F.array_compact(F.array(begins, ends, goes))).alias("x"))
+    return found.select("x.frame", "atom_id", "x.left_mol", "x.right_mol", "x.bad")
 
 
 def matched(changes: DataFrame) -> DataFrame:

@@ -153,7 +153,9 @@ def molecules(frames: DataFrame) -> DataFrame:
     Of any frame's molecules only one holds a given atom, so the first frame and the least
     atom name a molecule: ids need no ranking over all rows, and follow first appearance.
     """
-    grouped = frames.groupBy("atoms", "bonds").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+    # groups are found by 128 bits of hash instead of whole arrays
+    keyed = frames.select(F.xxhash64("atoms", "bonds").alias("one"), F.xxhash64("bonds", F.lit(1), "atoms").alias("two"), "*")
+    grouped = keyed.groupBy("one", "two").agg(F.first("atoms").alias("atoms"), F.first("bonds").alias("bonds"), F.array_sort(F.collect_list("frame")).alias("frames"))
     return grouped.select((F.col("frames")[0].cast("long") * PLACE + F.col("atoms")[0] + 1).alias("mol_id"), "atoms", "bonds", "frames")
 
 

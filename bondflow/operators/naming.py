@@ -130,8 +130,31 @@ def groups(labels: DataFrame) -> DataFrame:
 
 
 def isomers(molecules: DataFrame, atoms: DataFrame, miso: int = 0, elements: list[str] | None = None) -> DataFrame:
-    """Groups of equal molecules: by full structure (0), without bond orders (1), by formula (2)."""
+    """Groups of equal molecules, (mol_id, label, representative, members): by full structure (0), without bond orders (1), by formula (2)."""
     if miso not in (0, 1, 2):
         raise ValueError(f"miso is 0, 1 or 2, not {miso}")
     labels = formula_names(molecules, atoms, elements) if miso == 2 else named(molecules, atoms, orders=miso == 0)
     return groups(labels.withColumnRenamed("name", "label"))
+
+
+def species_names(molecules: DataFrame, atoms: DataFrame, mode: str = "smiles", miso: int = 0, elements: list[str] | None = None) -> DataFrame:
+    """(mol_id, name) by a strategy of naming.
+
+    "formula": the formula. "smiles": the canonical name; with miso 1 or 2, molecules that
+    differ in bond orders or in bonds alone share the name of the first of them. "graph": the
+    name of the first isomorphic molecule, bond orders never being compared.
+    """
+    if mode not in ("formula", "smiles", "graph"):
+        raise ValueError(f"names are by formula, smiles or graph, not {mode!r}")
+    if mode == "formula":
+        return formula_names(molecules, atoms, elements)
+    full = named(molecules, atoms)
+    if mode == "smiles" and not miso:
+        return full
+    return representative_names(full, isomers(molecules, atoms, max(miso, 1), elements))
+
+
+def representative_names(full: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(mol_id, name): each molecule's name is that of its group's representative."""
+    first = full.select(F.col("mol_id").alias("representative"), "name")
+    return grouped.select("mol_id", "representative").join(first, "representative").select("mol_id", "name")

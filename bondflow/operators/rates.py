@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ def volume(cell: list) -> float:
 
 
 def rate_constants(species: DataFrame, reactions: DataFrame, cell: list, timestep: float) -> DataFrame:
-    """(reaction, k) of reactions (reaction, n) from species (timestep, name, n); timestep in femtoseconds a step.
+    """(reaction, k, log10_k) of reactions (reaction, n) from species (timestep, name, n); timestep in femtoseconds a step.
 
     k = n / (V NA dt * sum over time of the product over reactants of (count / (V NA))^order).
-    Times at which a reactant is absent add nothing. A reactant that never occurs is an error.
+    Products and the sum are taken in logarithms (the greatest term factored out), so events
+    of hundreds of reactants don't underflow; k itself may then be infinite where log10_k is not.
+    Times at which a reactant is absent add nothing; where no time has all reactants both are
+    infinite. A reactant that never occurs is an error.
     """
     times = [r[0] for r in species.select("timestep").distinct().orderBy("timestep").limit(2).collect()]
     if len(times) < 2:
@@ -35,10 +40,11 @@ def rate_constants(species: DataFrame, reactions: DataFrame, cell: list, timeste
     missing = needs.join(species.select("name").distinct(), "name", "left_anti").limit(1).collect()
     if missing:
         raise KeyError(missing[0]["name"])
-    terms = needs.groupBy("reaction").agg(F.count("*").alias("reactants"))
-    present = needs.join(species.select("timestep", "name", F.col("n").alias("count")), "name")
-    term = F.pow(F.col("count") / F.lit(moles), F.col("order"))
-    each = present.groupBy("reaction", "n", "timestep").agg(F.collect_list(term).alias("terms"))
-    whole = each.join(terms, "reaction").where(F.size("terms") == F.col("reactants"))
-    products = whole.select("reaction", "n", F.aggregate(F.array_sort("terms"), F.lit(1.0), lambda a, x: a * x).alias("c"))
-    return products.groupBy("reaction", "n").agg(F.sum("c").alias("c")).select("reaction", (F.col("n") / (F.lit(moles) * F.lit(span) * F.col("c"))).alias("k"))
+    wanted = needs.groupBy("reaction", "n").agg(F.count("*").alias("reactants"))
+    present = needs.join(species.where("n > 0").select("timestep", "name", F.col("n").alias("count")), "name")
+    logs = present.groupBy("reaction", "timestep").agg(F.sum(F.col("order") * F.ln(F.col("count") / moles)).alias("log"), F.count("*").alias("have"))
+    whole = logs.join(wanted.select("reaction", "reactants"), "reaction").where("have = reactants").select("reaction", "log")
+    most = whole.groupBy("reaction").agg(F.max("log").alias("most"))
+    sums = whole.join(most, "reaction").groupBy("reaction", "most").agg(F.sum(F.exp(F.col("log") - F.col("most"))).alias("rest"))
+    log_k = F.coalesce(F.ln("n") - math.log(moles * span) - F.col("most") - F.ln("rest"), F.lit(math.inf))
+    return wanted.join(sums, "reaction", "left").select("reaction", F.exp(log_k).alias("k"), (log_k / math.log(10)).alias("log10_k"))

@@ -93,8 +93,7 @@ class Analysis:
 
     @cached_property
     def changes(self) -> DataFrame:
-        spine = self.frames.select("frame").join(self.atoms.select("atom_id", F.lit(1).alias("_all")), F.col("_all") == 1).select("atom_id", "frame")
-        return events.changed(spine, self.occupied)
+        return events.changed(self.occupied, self.steps)
 
     @cached_property
     def matched(self) -> DataFrame:

@@ -136,8 +136,9 @@ def molecule_dict(spark, sf_dir):
 @query(chain("SELECT (SELECT count(*) FROM atoms) AS atoms, (SELECT count(*) FROM frames) AS frames, (SELECT count(*) FROM mol) AS molecules"))
 def trajectory_summary(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(a.atoms, "atoms").join(one(a.frames, "frames"), F.lit(True)).join(one(a.molecules, "molecules"), F.lit(True))
+    tables = {"atoms": a.atoms, "frames": a.frames, "molecules": a.molecules}
+    each = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in tables.items()]
+    return each[0].union(each[1]).union(each[2]).agg(*(F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in tables))
 
 
 # signals
@@ -168,23 +169,33 @@ def species_name(spark, sf_dir):
     return naming.named(a.molecules, a.atoms)
 
 
-@query()
+#: Names written of a part's columns, with bare, bracketed and aromatic atoms
+WRITTEN = """concat(elt(p_size % 4 + 1, 'C', '[CH3]', 'c1', '[HH]'), '(', elt(p_partkey % 5 + 1, 'O', 'Cl', '[13C]', 'N', '[O-]'), ')', elt(p_size % 3 + 1, '=C', 'n1', '[H]'), if(p_partkey % 11 = 0, '_unknownSMILES_1', ''))"""
+WRITTEN_SQL = """concat(['C', '[CH3]', 'c1', '[HH]'][p_size % 4 + 1], '(', ['O', 'Cl', '[13C]', 'N', '[O-]'][p_partkey % 5 + 1], ')', ['=C', 'n1', '[H]'][p_size % 3 + 1], CASE WHEN p_partkey % 11 = 0 THEN '_unknownSMILES_1' ELSE '' END)"""
+
+
+@query(rf"""WITH w AS (SELECT p_partkey, {WRITTEN_SQL} AS s FROM part)
+SELECT p_partkey, CASE WHEN contains(s, '_unknownSMILES') THEN s ELSE array_to_string(list_transform(regexp_extract_all(s, '\[[^\]]*\]|Cl|[CONcon]|.'), lambda p: CASE WHEN regexp_full_match(p, 'Cl|[CONcon]') THEN '[' || p || ']' WHEN p = '[HH]' THEN '[H]' ELSE p END), '') END AS name FROM w""")
 def smiles_bracket(spark, sf_dir):
+    written = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(WRITTEN).alias("name"))
+    return written.select("p_partkey", fn.bracket(F.col("name"), ["C", "H", "O", "N", "Cl"]).alias("name"))
+
+
+def _isomers(spark, sf_dir, miso: int) -> DataFrame:
+    """Groups with the name of the first molecule of each."""
     a = analysis(spark, sf_dir)
-    bare = F.regexp_replace("name", r"[\[\]]", "")
-    return naming.named(a.molecules, a.atoms).select("mol_id", fn.bracket(bare, ELEMENTS).alias("name"))
+    groups = naming.isomers(a.molecules, a.atoms, miso)
+    return groups.join(naming.representative_names(naming.named(a.molecules, a.atoms), groups), "mol_id")
 
 
 @query()
 def isomer_groups(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    return naming.isomers(a.molecules, a.atoms, 0)
+    return _isomers(spark, sf_dir, 0)
 
 
 @query()
 def miso1_groups(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    return naming.isomers(a.molecules, a.atoms, 1)
+    return _isomers(spark, sf_dir, 1)
 
 
 @query(chain("SELECT mol_id, name AS label, min(mol_id) OVER (PARTITION BY name) AS representative, count(*) OVER (PARTITION BY name) AS members FROM named"))
@@ -396,11 +407,12 @@ def search_reactions(spark, sf_dir):
 
 @query(chain(f"""WITH need AS (SELECT reaction, n, name, count(*) AS o FROM abcd, unnest(string_split(split_part(reaction, '->', 1), '+')) t(name) GROUP BY ALL),
 kinds AS (SELECT reaction, count(*) AS kinds FROM need GROUP BY ALL),
-terms AS (SELECT reaction, need.n, s.frame, product(power(s.n / {LIMIT}, o)) AS c, count(*) AS have FROM need JOIN species s USING (name) GROUP BY ALL) SELECT reaction, round(log10(n / ({LIMIT} * (1000 * 0.1 * 1e-15) * sum(c))), 6) AS log_k FROM terms JOIN kinds USING (reaction) WHERE have = kinds GROUP BY reaction, n"""))
+terms AS (SELECT reaction, need.n, s.frame, sum(o * ln(s.n / {LIMIT})) AS c, count(*) AS have FROM need JOIN species s USING (name) GROUP BY ALL),
+whole AS (SELECT reaction, n, c, max(c) OVER (PARTITION BY reaction) AS most FROM terms JOIN kinds USING (reaction) WHERE have = kinds) SELECT reaction, round((ln(n / ({LIMIT} * (1000 * 0.1 * 1e-15))) - most - ln(sum(exp(c - most)))) / ln(10), 6) AS log_k FROM whole GROUP BY reaction, n, most"""))
 def rate_constants(spark, sf_dir):
     a = analysis(spark, sf_dir)
     found = rates.rate_constants(a.species, events.frequencies(a.events), CELL, 0.1)
-    return found.select("reaction", F.round(F.log10("k"), 6).alias("log_k"))
+    return found.select("reaction", F.round("log10_k", 6).alias("log_k"))
 
 
 QUERIES["occupancy"] = QUERIES.pop("occupancy_")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bondflow.functions import names as fn
 from bondflow.operators import events, graph, matrix, naming, network, occupancy, rates, report, signals
@@ -92,18 +93,14 @@ def test_counted_keeps_the_least_atoms_repeats(spark):
     assert sorted(map(tuple, occupancy.distinct_pairs(steps).collect())) == [(1, 2, 1), (2, 1, 1)]
 
 
-def spine(spark, n, frames):
-    return spark.createDataFrame([(i, f) for i in range(n) for f in range(frames)], "atom_id int, frame int")
-
-
 def test_events(spark):
     names = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "A")], "mol_id bigint, name string")
     cells = [(i, 0, m) for i, m in enumerate([1, 1, 2, 2])] + [(i, 1, 3) for i in range(4)] + [(i, 2, 3) for i in range(3)]
     occ = spark.createDataFrame([(*c, False) for c in cells], "atom_id int, frame int, mol_id bigint, conflict boolean")
-    found = events.matched(events.changed(spine(spark, 4, 3), occ))
+    found = events.matched(events.changed(occ, 3))
     assert [tuple(r) for r in events.named_events(found.where("clean"), names).collect()] == [(0, "A+B", "C")]
     swap = spark.createDataFrame([(0, 0, 1, False), (0, 1, 4, False)], "atom_id int, frame int, mol_id bigint, conflict boolean")
-    assert events.named_events(events.matched(events.changed(spine(spark, 1, 2), swap)), names).count() == 0
+    assert events.named_events(events.matched(events.changed(swap, 2)), names).count() == 0
 
 
 def test_events_against_brute_force(spark):
@@ -140,7 +137,7 @@ def test_events_against_brute_force(spark):
                 l, r = (Counter(names[x[1]] for x in group if x[0] == s) for s in "lr")
                 if l - r and r - l:
                     expected[f, "+".join(sorted((l - r).elements())), "+".join(sorted((r - l).elements()))] += 1
-        found = events.matched(events.changed(spine(spark, 10, 6), occ)).where("clean")
+        found = events.matched(events.changed(occ, 6)).where("clean")
         got = events.named_events(found, spark.createDataFrame(list(names.items()), "mol_id bigint, name string"))
         assert Counter(map(tuple, got.collect())) == expected
 
@@ -200,6 +197,42 @@ def test_canonical_names_tell_structures_apart():
     assert naming.canonical(["C", "C"], [(0, 1, 1)]) != naming.canonical(["C", "C"], [(0, 1, 2)])
 
 
+def bracketed(name, elements):
+    """Character by character: what stands outside brackets and is an element but hydrogen."""
+    out, i = "", 0
+    known = {x for e in elements if e != "H" for x in ((e, e.lower()) if len(e) == 1 else (e,))}
+    while i < len(name):
+        if name[i] == "[":
+            end = name.index("]", i) + 1
+            out, i = out + ("[H]" if name[i:end] == "[HH]" else name[i:end]), end
+        else:
+            n = 2 if name[i : i + 2] in known else 1
+            out, i = out + (f"[{name[i : i + n]}]" if name[i : i + n] in known else name[i : i + n]), i + n
+    return out
+
+
+def test_brackets_of_real_names(spark):
+    names = ["[CH3]", "[OH2]", "[HH]", "C[C@H](N)C(=O)O", "c1ccccc1Cl", "[13CH4]", "[Na+].[Cl-]", "CC(=O)Oc1ccccc1C(=O)O", "[H]O[H]", "O=[N+]([O-])c1ccc(Br)cc1", "ClCCl", "", "[nH]1cccc1", "C#N", "[H][C]([H])[H]"]
+    elements = ["C", "H", "O", "N", "Cl", "Na"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: r["b"] for r in df.withColumn("b", fn.bracket(df["name"], elements)).collect()}
+    assert got == {n: bracketed(n, elements) for n in names}
+    assert got["[CH3]"] == "[CH3]" and got["[OH2]"] == "[OH2]" and got["[HH]"] == "[H]"
+    assert {r["b"] for r in df.select(fn.bracket(df["name"], ["H"]).alias("b")).where("b like '%CCl%'").collect()} == {"ClCCl"}
+
+
+def test_names_by_strategy(spark):
+    molecules = spark.createDataFrame([(1, [0, 1], [(0, 1, 2)]), (2, [0, 1], [(0, 1, 1)]), (3, [1, 2], [(1, 2, 1)]), (4, [0, 2], [])], "mol_id bigint, atoms array<int>, bonds array<struct<a:int,b:int,level:int>>")
+    atoms = spark.createDataFrame([(i, "C") for i in range(3)], "atom_id int, element string")
+    named = lambda mode, miso: {r["mol_id"]: r["name"] for r in naming.species_names(molecules, atoms, mode, miso, ["C"]).collect()}
+    full = named("smiles", 0)
+    assert len(set(full.values())) == 3 and full[2] == full[3]
+    assert named("smiles", 1) == named("graph", 0) == {1: full[1], 2: full[1], 3: full[1], 4: full[4]}
+    assert set(named("smiles", 2).values()) == {full[1]} and set(named("formula", 0).values()) == {"C2"}
+    with pytest.raises(ValueError):
+        naming.species_names(molecules, atoms, "other")
+
+
 def test_isomers(spark):
     molecules = spark.createDataFrame([(1, [0, 1], [(0, 1, 1)]), (2, [2, 3], [(2, 3, 1)]), (3, [0, 1], [(0, 1, 2)]), (4, [0], []), (5, [0, 1], [])], "mol_id bigint, atoms array<int>, bonds array<struct<a:int,b:int,level:int>>")
     atoms = spark.createDataFrame([(i, "C") for i in range(4)], "atom_id int, element string")
@@ -246,6 +279,11 @@ def test_rates(spark):
     assert got["A->B"] == pytest.approx(7 / (moles * span * (10 / moles)))
     c = (2 / moles) ** 2 * (1 / moles) + (5 / moles) ** 2 * (2 / moles)
     assert math.isclose(got["A+A+B->C"], 3 / (moles * span * c), rel_tol=1e-9)
+    many = spark.createDataFrame([(t, "A", 2) for t in (0, 10)] + [(20, "C", 1)], "timestep bigint, name string, n bigint")
+    events_ = spark.createDataFrame([("+".join(["A"] * 124) + "->B", 1), ("A+C->B", 4)], "reaction string, n bigint")
+    got = {x["n"]: x for x in rates.rate_constants(many, events_, [10.0, 10.0, 10.0], 0.5).withColumn("n", F.length("reaction")).collect()}
+    assert got[250]["log10_k"] == pytest.approx(-math.log10(moles * span * 2) - 124 * math.log10(2 / moles))  # the product itself is below the least double
+    assert got[6]["k"] == got[6]["log10_k"] == math.inf  # A and C are never there together
     assert rates.volume([[2.0, 0, 0], [1, 3, 0], [0, 0, 4]]) == 24
     with pytest.raises(KeyError):
         rates.rate_constants(species, spark.createDataFrame([("Z->A", 1)], "reaction string, n bigint"), [1, 1, 1], 1.0)
