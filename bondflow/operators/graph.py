@@ -43,13 +43,49 @@ def aromatic(level: Column) -> Column:
     return F.when(level == 5, F.lit(12)).otherwise(level)
 
 
-def distance_bonds(positions: DataFrame, limits: dict[tuple[str, str], float], cell: list[list[float]] | None = None) -> DataFrame:
+def perceived_bonds(positions: DataFrame, periodic: bool = True) -> DataFrame:
+    """bonds (frame, a, b, level) with orders, found by Open Babel where it is installed; positions have a column cell if periodic.
+
+    One frame a task at a time; a perceived order of 5 is the aromatic 12.
+    """
+    columns = ["frame", "atom_id", "element", *"xyz", *(["cell"] if periodic else [])]
+
+    def run(table: pa.Table) -> pa.Table:
+        from openbabel import openbabel as ob
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["atom_id"])
+        mol = ob.OBMol()
+        mol.BeginModify()
+        for r in rows:
+            atom = mol.NewAtom()
+            atom.SetAtomicNum(ob.GetAtomicNum(r["element"]))
+            atom.SetVector(r["x"], r["y"], r["z"])
+        if periodic:
+            cell = ob.OBUnitCell()
+            cell.SetData(*(ob.vector3(*v) for v in rows[0]["cell"]))
+            mol.CloneData(cell)
+            mol.SetPeriodicMol()
+        mol.ConnectTheDots()
+        mol.PerceiveBondOrders()
+        mol.EndModify()
+        found = [(*sorted((rows[x.GetBeginAtomIdx() - 1]["atom_id"], rows[x.GetEndAtomIdx() - 1]["atom_id"])), 5 if x.IsAromatic() else x.GetBondOrder()) for x in ob.OBMolBondIter(mol)]
+        kinds = pa.schema([("frame", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("level", pa.int32())])
+        return pa.Table.from_pylist([dict(zip(kinds.names, (rows[0]["frame"], *x), strict=True)) for x in found], kinds)
+
+    found = positions.select(*columns).groupBy("frame").applyInArrow(run, "frame int, a int, b int, level int")
+    return found.withColumn("level", aromatic(F.col("level")))
+
+
+def distance_bonds(positions: DataFrame, limits: dict[tuple[str, str], float], cell: list[list[float]] | str | None = None) -> DataFrame:
     """bonds (frame, a, b, level) of positions (frame, atom_id, element, x, y, z) nearer than their pair's limit.
 
     Space is cut into bins as wide as the largest limit; atoms meet in an equi-join on frame
     and bin, an atom being copied to the bins around its own on one side, so the work follows
-    the number of near pairs. With a cell, positions are wrapped and bins close around it.
+    the number of near pairs. With a cell, positions are wrapped and bins close around it. A
+    cell is given for all frames, or as the name of a column that has each frame's own.
     """
+    if isinstance(cell, str):
+        return _bonds_in_own_cells(positions, limits, cell)
     widest = max(limits.values())
     table = F.create_map(*(F.lit(x) for (a, b), d in limits.items() for x in (f"{a}\t{b}", d)))
     p = positions.select("frame", "atom_id", "element", *(F.col(c).cast("double") for c in "xyz"))
@@ -91,6 +127,34 @@ def distance_bonds(positions: DataFrame, limits: dict[tuple[str, str], float], c
     return found if cell is None else found.distinct()  # a pair may meet through several images
 
 
+def _bonds_in_own_cells(positions: DataFrame, limits: dict[tuple[str, str], float], cell: str) -> DataFrame:
+    """distance_bonds() with the cell of a column: the same steps, the cell's numbers being columns too."""
+    widest = max(limits.values())
+    table = F.create_map(*(F.lit(x) for (a, b), d in limits.items() for x in (f"{a}\t{b}", d)))
+    at = lambda i, j: F.col(cell)[i % 3][j % 3]
+    minor = lambda i, j: at(i + 1, j + 1) * at(i + 2, j + 2) - at(i + 1, j + 2) * at(i + 2, j + 1)
+    p = positions.select("frame", "atom_id", "element", *(F.col(c).cast("double") for c in "xyz"), cell)
+    p = p.withColumn("det", sum((at(0, j) * minor(0, j) for j in range(1, 3)), at(0, 0) * minor(0, 0)))
+    p = p.withColumns({f"i{k}{i}": minor(i, k) / F.col("det") for k in range(3) for i in range(3)})
+    p = p.withColumns({f"h{i}": 1 / F.sqrt(sum((F.col(f"i{k}{i}") ** 2 for k in range(3)), F.lit(0.0))) for i in range(3)})
+    p = p.withColumns({f"n{i}": F.greatest(F.lit(1), F.floor(F.col(f"h{i}") / widest)).cast("long") for i in range(3)} | {f"r{i}": F.greatest(F.lit(1), F.ceil(F.lit(widest) / F.col(f"h{i}"))).cast("long") for i in range(3)})
+    p = p.withColumns({f"s{i}": sum((F.col(c) * F.col(f"i{k}{i}") for k, c in enumerate("xyz")), F.lit(0.0)) for i in range(3)})
+    p = p.withColumns({f"s{i}": F.col(f"s{i}") - F.floor(f"s{i}") for i in range(3)})
+    place = lambda s: {c: sum((s[i] * at(i, j) for i in range(3)), F.lit(0.0)) for j, c in enumerate("xyz")}
+    p = p.withColumns(place([F.col(f"s{i}") for i in range(3)]) | {f"b{i}": F.least(F.floor(F.col(f"s{i}") * F.col(f"n{i}")), F.col(f"n{i}") - 1).cast("long") for i in range(3)})
+    left = p.select("frame", F.col("atom_id").alias("a"), F.col("element").alias("ea"), *"xyz", "b0", "b1", "b2")
+    right = p
+    for i in range(3):
+        right = right.withColumn(f"d{i}", F.explode(F.sequence(-F.col(f"r{i}"), F.col(f"r{i}"))))
+    moved = [F.col(f"b{i}") + F.col(f"d{i}") for i in range(3)]
+    shift = place([F.floor(m / F.col(f"n{i}")) for i, m in enumerate(moved)])
+    right = right.select("frame", F.col("atom_id").alias("b"), F.col("element").alias("eb"), *((F.col(c) - shift[c]).alias(f"{c}2") for c in "xyz"), *(F.pmod(m, F.col(f"n{i}")).alias(f"b{i}") for i, m in enumerate(moved)))
+    squared = sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0))
+    limit = table[F.concat_ws("\t", F.least("ea", "eb"), F.greatest("ea", "eb"))]
+    pairs = left.join(right, ["frame", "b0", "b1", "b2"]).where("a < b")
+    return pairs.where(squared < limit * limit).select("frame", "a", "b", F.lit(1).alias("level")).distinct()
+
+
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node of each of n nodes' component."""
     out = np.arange(n)

@@ -33,6 +33,9 @@ def test_distance_bonds_are_those_of_all_images(spark, cell):
     limits = graph.cutoffs(list("CHO"), 0.8)
     p = spark.createDataFrame(rows, "frame int, atom_id int, element string, x double, y double, z double")
     got = sorted((r["a"], r["b"]) for r in graph.distance_bonds(p, limits, cell).collect())
+    if cell:
+        own = p.withColumn("cell", F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in cell)))
+        assert sorted((r["a"], r["b"]) for r in graph.distance_bonds(own, limits, "cell").collect()) == got
     m = np.array(cell, float) if cell else np.zeros((3, 3))
     reach = range(-8, 9) if cell else [0]
     images = np.array(list(itertools.product(reach, repeat=3))) @ m

@@ -35,7 +35,7 @@ def write(path, *texts):
 def test_bond_files_stride_and_concatenation(spark, tmp_path):
     one = write(tmp_path / "a.bond", *(BOND.format(t=t) for t in range(0, 50, 10)))
     two = write(tmp_path / "b.bond", *(BOND.format(t=t) for t in (100, 110)), "# Timestep 120\n# Number of particles 3\n 1 1 0")
-    rows = trajectory.load(spark, "bond", [one, two], atomname=["H", "O"], stepinterval=3, framesperpartition=1).collect()
+    rows = trajectory.load(spark, "bond", [one, two], atomname=["H", "O"], stepinterval=3, rangebytes=150).collect()
     assert sorted({(r["frame"], r["timestep"]) for r in rows}) == [(0, 0), (1, 30), (2, 110)]
     first = sorted((r["atom_id"], r["element"], r["b"], r["level"]) for r in rows if r["frame"] == 0)
     assert first == [(0, "H", 2, 1), (1, "H", 2, 1), (2, "O", 0, 2), (2, "O", 1, 2)]
@@ -78,3 +78,20 @@ def test_text_tables(spark, tmp_path):
     assert got == {("A+A+B->C", 5, "left", "A", 2), ("A+A+B->C", 5, "left", "B", 1), ("A+A+B->C", 5, "right", "C", 1), ("C->A+B", 2, "left", "C", 1), ("C->A+B", 2, "right", "A", 1), ("C->A+B", 2, "right", "B", 1)}
     matrix = write(tmp_path / "m", ' A B\nA 0 3\nB 1 0\n')
     assert sorted(map(tuple, text.read_matrix(spark, matrix).collect())) == [("A", "B", 3), ("B", "A", 1)]
+
+
+def test_ranges_of_any_size_give_the_same_rows(spark, tmp_path):
+    body = "2\n{c}\nH 0.7 {c} 0\nO 0 0 0\n"
+    files = {
+        "bond": [write(tmp_path / "a.bond", *(BOND.format(t=t) for t in range(7))), write(tmp_path / "b.bond", BOND.format(t=9))],
+        "dump": [write(tmp_path / "a.dump", *(DUMP.format(t=t) for t in range(7))), write(tmp_path / "b.dump", DUMP.format(t=9), DUMP[:90])],
+        "xyz": [write(tmp_path / "a.xyz", *(body.format(c=t) for t in range(7))), write(tmp_path / "b.xyz", body.format(c=9), "2\nx\nH 0 0 0\n")],
+    }
+    for kind, paths in files.items():
+        for stride in (1, 3):
+            read = lambda **o: sorted(map(str, trajectory.load(spark, kind, paths, pbc="false", stepinterval=stride, **o).collect()))  # noqa: E731, B023
+            whole = read()
+            assert len({x.split(",")[0] for x in whole}) == len(range(0, 8, stride))
+            assert read(rangebytes=41) == read(rangebytes=97) == whole
+    uri = "file://" + files["dump"][0]
+    assert trajectory.load(spark, "dump", [uri]).count() == 21
