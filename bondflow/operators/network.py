@@ -29,6 +29,7 @@ def edges(reactions: DataFrame, chosen: DataFrame) -> DataFrame:
     return reactions.where("n > 0 and left_name <> right_name").join(one, "left_name", "left_semi").join(two, "right_name", "left_semi").select("left_name", "right_name", "n")
 
 
+# fixed values: the line's width and its step, and the colours' ends
 def styled(edges_: DataFrame, width: float = 3.0, start: tuple = (0.0, 0.0, 1.0), end: tuple = (1.0, 0.0, 0.0)) -> DataFrame:
     """Adds weight ln(n + 1), its share of the largest, a line width and a colour between start and end."""
     weight = F.log1p(F.col("n"))

@@ -39,16 +39,39 @@ def search_reactions(listed: DataFrame, selection: list[str]) -> DataFrame:
     return listed.where(F.arrays_overlap(F.concat("l", "r"), F.array(*map(F.lit, selection)))) if selection else listed
 
 
-def as_json(ordered: DataFrame, events: DataFrame | None = None, most: int = 20) -> str:
-    """The whole report as JSON, from tables of distinct reactions (all-time)."""
+def neighbourhood(linked: DataFrame, shown: list[str], name: str) -> list[str]:
+    """The species shown once `name` has been expanded: its links of links() are added, each once, after those shown."""
+    near = [r["end"] for r in linked.where(F.col("start") == name).orderBy("pos").collect()]  # as many as links() has of one species
+    return list(dict.fromkeys([*shown, name, *near]))
+
+
+def choices(listed: DataFrame, most: int = 65_536) -> DataFrame:
+    """The species offered for selection: the first ones of species()."""
+    return listed.where(F.col("i") <= most)
+
+
+def drawing(ordered: DataFrame, most: int = 20, chosen: list[str] | None = None, without: list[str] | None = None, **style) -> str:
+    """The network of the first species, or of those chosen, as SVG."""
+    own = network.nodes(matrix.ranked(ordered), most, chosen, without)
+    drawn = [r.asDict() for r in network.styled(network.edges(ordered, own), **style).collect()]
+    return network.svg([r["name"] for r in own.orderBy("node").collect()], drawn)
+
+
+def as_json(ordered: DataFrame | list[DataFrame], events: DataFrame | None = None, most: int = 20, **drawn) -> str:
+    """The whole report as JSON, from tables of distinct reactions: over all time or, as a list, that and each part of a split. Links are those of all time."""
     rows = lambda df, key: [json.loads(r[0]) for r in df.orderBy(key).select(F.to_json(F.struct(*(c for c in df.columns)))).collect()]
-    listed, found = reactions(ordered), species(ordered)
-    chosen = network.nodes(matrix.ranked(ordered), most)
-    drawn = [r.asDict() for r in network.styled(network.edges(ordered, chosen)).collect()]
+    orders = ordered if isinstance(ordered, list) else [ordered]
     near: dict[str, list[str]] = {}
-    for r in links(ordered).orderBy("start", "pos").collect():
+    for r in links(orders[0]).orderBy("start", "pos").collect():
         near.setdefault(r["start"], []).append(r["end"])
-    out = {"network": [network.svg([r["name"] for r in chosen.orderBy("node").collect()], drawn)], "species": [rows(found, "i")], "reactions": [rows(listed, "i")], "linkreac": near, "speciesshownum": 30, "reactionsshownum": 20}
+    out = {
+        "network": [drawing(o, most, **drawn) for o in orders],
+        "species": [rows(species(o), "i") for o in orders],
+        "reactions": [rows(reactions(o), "i") for o in orders],
+        "linkreac": near,
+        "speciesshownum": 30,
+        "reactionsshownum": 20,
+    }
     if events is not None:
         numbered = events.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("n"), "reaction")))
         sides = F.split("reaction", "->")

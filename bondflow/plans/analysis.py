@@ -27,6 +27,18 @@ class Analysis:
     a: tuple = signals.A
     b: tuple = signals.B
     steps_: int | None = field(default=None)
+    naming: str = "formula"  # or smiles, graph
+    miso: int = 0
+    filtered: bool = True  # whether molecules that the HMM removes are left out of species
+    folder: str | None = None  # where tables that several results need are written once
+
+    def _once(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written to the folder and read again if there is one."""
+        if not self.folder:
+            return df
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @cached_property
     def steps(self) -> int:
@@ -38,24 +50,24 @@ class Analysis:
 
     @cached_property
     def molecules(self) -> DataFrame:
-        return graph.molecules(self.molecule_frames)
+        return self._once("molecules", graph.molecules(self.molecule_frames))
 
     @cached_property
     def decoded(self) -> DataFrame:
-        return signals.decoded(self.molecules, self.steps, self.p, self.a, self.b)
+        return self._once("decoded", signals.decoded(self.molecules, self.steps, self.p, self.a, self.b))
 
     @cached_property
     def kept(self) -> DataFrame:
         """Molecules with original frames: all, or those whose decoded signal is on somewhere."""
-        return self.molecules.join(signals.survivors(self.decoded).select("mol_id"), "mol_id", "left_semi") if self.hmm else self.molecules
+        return self.molecules.join(signals.survivors(self.decoded).select("mol_id"), "mol_id", "left_semi") if self.hmm and self.filtered else self.molecules
 
     @cached_property
     def names(self) -> DataFrame:
-        return naming.formula_names(self.kept, self.atoms, self.elements)
+        return self._once("names", naming.species_names(self.kept, self.atoms, self.naming, self.miso, self.elements))
 
     @cached_property
     def occupied(self) -> DataFrame:
-        return occupancy.occupancy(self.molecules.select("mol_id", "atoms"), signals.survivors(self.decoded) if self.hmm else self.molecules)
+        return self._once("occupied", occupancy.occupancy(self.molecules.select("mol_id", "atoms"), signals.survivors(self.decoded) if self.hmm else self.molecules))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -91,6 +103,12 @@ class Analysis:
     def ordered(self) -> DataFrame:
         return matrix.ordered(self.reactions)
 
+    @cached_property
+    def orders(self) -> list[DataFrame]:
+        """ordered over all time, then, with a split, of each part."""
+        parts = [matrix.ordered(self.split_reactions.where(F.col("part") == i).drop("part")) for i in range(self.split)] if self.split > 1 else []
+        return [self.ordered, *parts]
+
     @cached_property
     def changes(self) -> DataFrame:
         return events.changed(self.occupied, self.steps)
@@ -119,14 +137,23 @@ class Analysis:
         rows = self.kept.withColumn("frame", F.explode("frames")).join(chosen, "frame").join(self.names, "mol_id")
         return rows.select("timestep", F.col("name").alias("species"), F.array_join(F.col("atoms").cast("array<string>"), ";").alias("atom_ids"), graph.bond_text(F.col("bonds")).alias("bond_ids"))
 
+    def species_lines(self) -> DataFrame:
+        """(frame, line) with lines `Timestep t: name n name n ...`."""
+        pairs = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "n"))), " ")
+        return self.species.groupBy("frame", "timestep").agg(pairs.alias("pairs")).select("frame", F.concat(F.lit("Timestep "), F.col("timestep"), F.lit(": "), F.col("pairs")).alias("line"))
+
     def name_lines(self) -> DataFrame:
         """Lines `name atoms bonds` of every molecule."""
         text = F.concat_ws(" ", "name", F.array_join(F.col("atoms").cast("array<string>"), ";"), graph.bond_text(F.col("bonds"), ",", ";"))
         return self.kept.join(self.names, "mol_id").select("mol_id", text.alias("line"))
 
-    def route_lines(self) -> DataFrame:
-        """Lines `Atom i El: t name -> t name ...`, atoms counted from 1."""
-        named = self.routes.join(self.names, "mol_id")
+    def route_lines(self, part: int | None = None) -> DataFrame:
+        """Lines `Atom i El: t name -> t name ...`, atoms counted from 1; of one part of a split if asked for."""
+        routes = self.routes
+        if part is not None:
+            cells = self.occupied.join(occupancy.parts(self.frames, self.split).where(F.col("part") == part), "frame")
+            routes = occupancy.routes(cells)
+        named = routes.join(self.names, "mol_id")
         path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "name"))), lambda x: F.concat_ws(" ", x["time"], x["name"])), " -> ")
         per = named.groupBy("atom_id").agg(path.alias("path")).join(self.atoms, "atom_id")
         return per.select("atom_id", F.concat(F.lit("Atom "), F.col("atom_id") + 1, F.lit(" "), F.col("element"), F.lit(": "), F.col("path")).alias("line"))
