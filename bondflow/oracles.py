@@ -74,11 +74,11 @@ timeline AS (SELECT frame, timestep, name AS species, replace(atoms, ',', ';') A
 """
 
 
-def viterbi_sql() -> str:
+def viterbi_sql(a: tuple = signals.A, b: tuple = signals.B) -> str:
     """Forward scores of both states with the choice each made, then states from the last frame back."""
     w = signals.weight
-    a = [[w(x) for x in r] for r in signals.A]
-    e = [f"CASE WHEN o = 1 THEN {w(r[1])} ELSE {w(r[0])} END" for r in signals.B]
+    a = [[w(x) for x in r] for r in a]
+    e = [f"CASE WHEN o = 1 THEN {w(r[1])} ELSE {w(r[0])} END" for r in b]
     p = [w(x) for x in signals.P]
     return f""",
 steps AS (SELECT count(*) AS n FROM frames),
@@ -100,12 +100,12 @@ hchanged AS (SELECT frame, atom_id, left_mol, right_mol, c OR c2 OR left_mol = 0
 """
 
 
-def chain(final: str, hmm: bool = False) -> str:
-    """The chain, with the HMM's part if asked for, and a last query over it."""
+def chain(final: str, hmm: bool | dict = False) -> str:
+    """The chain, with the HMM's part if asked for (perhaps with its own a and b), and a last query over it."""
     if final.startswith("WITH "):
         first, final = final[5:].split(") SELECT ", 1)
         # its own expressions join the chain
         first, final = f",\n{first})", f"SELECT {final}"
     else:
         first = ""
-    return BASE + (viterbi_sql() if hmm else "") + first + "\n" + final
+    return BASE + (viterbi_sql(**({} if hmm is True else hmm)) if hmm else "") + first + "\n" + final

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bondflow.plans.analysis import Analysis
@@ -31,6 +35,23 @@ def analysis(spark: SparkSession, sf_dir: str, gaps: bool = False, **options) ->
     return Analysis(frames, atoms, present, bonds, ELEMENTS, **options)
 
 
+def written(lines: DataFrame, *order: Column | str) -> str:
+    """Path of one text file with the column `line` in an order, in the session's shared folder (a temporary one where there is none)."""
+    spark = lines.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/trajectory-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select("line").coalesce(1).write.text(path)
+    system, own = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    part = next(f.path for f in system.get_file_info(fs.FileSelector(own)) if f.base_name.startswith("part-"))
+    return path[: path.rindex("/")] + part[part.rindex("/", 0, part.rindex("/")) :]
+
+
+def frame_file(frames: DataFrame) -> str:
+    """A dump of (frame, timestep) with one atom."""
+    body = "ITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS pp pp pp\n0 1\n0 1\n0 1\nITEM: ATOMS id type x y z\n1 1 0 0 0"
+    return written(frames.select("frame", F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("timestep"), F.lit("\n" + body)).alias("line")), "frame")
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as positions: label as frame, the first three numbers times ten as place."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

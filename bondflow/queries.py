@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from bondflow.functions import names as fn
 from bondflow.operators import events, graph, matrix, naming, network, occupancy, rates, report, signals
 from bondflow.oracles import CELL, LIMIT, SELECTION, SPLIT, chain
-from bondflow.plans.testdata import ELEMENTS, analysis, positions
-from bondflow.sources import text
+from bondflow.plans.testdata import ELEMENTS, analysis, frame_file, positions, written
+from bondflow.sources import text, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,38 +36,42 @@ def ints(column: str):
 
 @query("SELECT DISTINCT CAST(greatest(1, round_even(l_discount * 30, 0)) AS INTEGER) AS level, l_discount AS bond_order FROM lineitem")
 def scan_bond_rounding(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_discount").distinct()
-    return rows.select(graph.order_level(F.col("l_discount") * 30).alias("level"), F.col("l_discount").alias("bond_order"))
+    """Each distinct order as the bond of a pair of atoms in a connection table, read back."""
+    orders = [r[0] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_discount").distinct().orderBy("l_discount").collect()]
+    lines = [f"# Timestep 0\n# Number of particles {2 * len(orders)}"]
+    for i, order in enumerate(orders):
+        lines += [f"{own} 1 1 {other} 0 {float(order) * 30!r} 1.0 0 0" for own, other in ((2 * i + 1, 2 * i + 2), (2 * i + 2, 2 * i + 1))]
+    path = written(spark.createDataFrame([(0, "\n".join(lines))], "i int, line string"), "i")
+    pairs = spark.createDataFrame([(2 * i, o) for i, o in enumerate(orders)], "atom_id int, bond_order double")
+    return trajectory.load(spark, "bond", [path], atomname=["C"]).join(pairs, "atom_id").select("level", "bond_order")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 1.0 AS lo, p_size * 1.0 + p_retailprice AS hi, (p_size % 7 - 3) * 0.5 AS xy, (p_size % 5 - 2) * 0.25 AS xz, (p_size % 3 - 1) * 1.0 AS yz FROM part)
 SELECT p_partkey, round((hi - greatest(0, xy, xz, xy + xz)) - (lo - least(0, xy, xz, xy + xz)), 6) AS lx, round((hi - greatest(0, yz)) - (lo - least(0, yz)), 6) AS ly, round(hi - lo, 6) AS lz FROM p""")
 def scan_dump_cell(spark, sf_dir):
+    """Each part's box as a frame of a dump, read back."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     lo = F.col("p_size") * 1.0
     hi = lo + F.col("p_retailprice")
-    xy, xz, yz = (F.col("p_size") % 7 - 3) * 0.5, (F.col("p_size") % 5 - 2) * 0.25, (F.col("p_size") % 3 - 1) * 1.0
-    zero = F.lit(0.0)
-    lx = hi - F.greatest(zero, xy, xz, xy + xz) - (lo - F.least(zero, xy, xz, xy + xz))
-    ly = hi - F.greatest(zero, yz) - (lo - F.least(zero, yz))
-    return p.select("p_partkey", F.round(lx, 6).alias("lx"), F.round(ly, 6).alias("ly"), F.round(hi - lo, 6).alias("lz"))
+    tilts = (F.col("p_size") % 7 - 3) * 0.5, (F.col("p_size") % 5 - 2) * 0.25, (F.col("p_size") % 3 - 1) * 1.0
+    box = F.concat_ws("\n", *(F.concat_ws(" ", lo, hi, t) for t in tilts))
+    line = F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("p_partkey"), F.lit("\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS xy xz yz pp pp pp\n"), box, F.lit("\nITEM: ATOMS y x type id z\n0 0 1 1 0"))
+    rows = trajectory.load(spark, "dump", [written(p.select("p_partkey", line.alias("line")), "p_partkey")], atomname=["C"])
+    return rows.select(F.col("timestep").alias("p_partkey"), *(F.round(F.col("cell")[i][i], 6).alias(c) for i, c in enumerate(("lx", "ly", "lz"))))
 
 
 @query(chain("SELECT CAST(p AS INTEGER) AS file_ord, CAST(row_number() OVER (ORDER BY p, frame) - 1 AS INTEGER) AS frame, timestep FROM (SELECT 0 AS p, * FROM frames UNION ALL SELECT 1, * FROM frames)"))
 def scan_concat(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    frames = analysis(spark, sf_dir).frames
-    both = frames.withColumn("file_ord", F.lit(0)).unionByName(frames.withColumn("file_ord", F.lit(1)))
-    return both.select("file_ord", (F.row_number().over(Window.orderBy("file_ord", "frame")) - 1).alias("frame"), "timestep")
+    """The frames in a file that is read twice over."""
+    a = analysis(spark, sf_dir)
+    path = frame_file(a.frames)
+    rows = trajectory.load(spark, "dump", [path, path], atomname=["C"])
+    return rows.select(F.floor(F.col("frame") / a.steps).cast("int").alias("file_ord"), "frame", "timestep")
 
 
 @query(chain("SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS INTEGER) AS frame, timestep FROM frames WHERE frame % 7 = 0"))
 def frame_stride(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    frames = analysis(spark, sf_dir).frames.where(F.pmod("frame", F.lit(7)) == 0)
-    return frames.select((F.dense_rank().over(Window.orderBy("frame")) - 1).alias("frame"), "timestep")
+    return trajectory.load(spark, "dump", [frame_file(analysis(spark, sf_dir).frames)], atomname=["C"], stepinterval=7).select("frame", "timestep")
 
 
 def species_lines(a) -> DataFrame:
@@ -117,10 +121,11 @@ def distance_bonds_pbc(spark, sf_dir):
 @query("""WITH t AS (SELECT least(substr(p_brand, -1), substr(p_type, 1, 1)) AS one, greatest(substr(p_brand, -1), substr(p_type, 1, 1)) AS two, p_partkey, p_size * 0.1 AS d FROM part)
 SELECT one, two, round(arg_max(d, p_partkey), 6) AS distance FROM t GROUP BY ALL""")
 def parse_cutoffs(spark, sf_dir):
+    """The text of an option, made of all parts: it is parsed on the driver, where options are."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     line = F.concat(F.substring("p_brand", -1, 1), F.lit("-"), F.substring("p_type", 1, 1), F.lit(":"), F.col("p_size") * 0.1)
-    rows = part.select("p_partkey", F.split(line, ":").alias("s")).select("p_partkey", F.array_sort(F.split(F.col("s")[0], "-")).alias("pair"), F.col("s")[1].cast("double").alias("d"))
-    return rows.groupBy(F.col("pair")[0].alias("one"), F.col("pair")[1].alias("two")).agg(F.round(F.max_by("d", "p_partkey"), 6).alias("distance"))
+    given = ", ".join(r[0] for r in part.orderBy("p_partkey").select(line).toLocalIterator())
+    return spark.createDataFrame([(*pair, round(d, 6)) for pair, d in graph.parse_cutoffs(given).items()], "one string, two string, distance double")
 
 
 @query(chain("SELECT frame, atoms, bonds FROM mf"))
@@ -223,9 +228,13 @@ def occupancy_(spark, sf_dir):
     return analysis(spark, sf_dir).occupied
 
 
-@query(chain("SELECT atom_id, frame, mol_id, conflict FROM hocc", hmm=True))
+#: A model that fills gaps but keeps short molecules, so that some claim the same atom
+MILD = {"a": ((0.6, 0.4), (0.1, 0.9)), "b": ((0.95, 0.05), (0.3, 0.7))}
+
+
+@query(chain("SELECT atom_id, frame, mol_id, conflict FROM hocc", hmm=MILD))
 def occupancy_conflict(spark, sf_dir):
-    return analysis(spark, sf_dir, hmm=True).occupied
+    return analysis(spark, sf_dir, hmm=True, **MILD).occupied
 
 
 @query(chain("SELECT atom_id, seq, time, frame, mol_id FROM route"))
@@ -279,9 +288,9 @@ def reaction_components(spark, sf_dir):
     return analysis(spark, sf_dir).matched.select("frame", "component", ints("left").alias("left_mols"), ints("right").alias("right_mols"))
 
 
-@query(chain("SELECT frame, component, left_mols, right_mols FROM hbip WHERE NOT bad", hmm=True))
+@query(chain("SELECT frame, component, left_mols, right_mols FROM hbip WHERE NOT bad", hmm=MILD))
 def reaction_components_clean(spark, sf_dir):
-    return analysis(spark, sf_dir, hmm=True).matched.where("clean").select("frame", "component", ints("left").alias("left_mols"), ints("right").alias("right_mols"))
+    return analysis(spark, sf_dir, hmm=True, **MILD).matched.where("clean").select("frame", "component", ints("left").alias("left_mols"), ints("right").alias("right_mols"))
 
 
 @query(chain("SELECT frame, reactant, product FROM evs"))

@@ -42,6 +42,7 @@ class Run(InputPartition):
 
 def opened(path: str):
     """A file opened for bytes, to be sought in."""
+    path = re.sub(r"^file:(//)?(?=/)", "", path)
     if "://" not in path:
         return open(path, "rb")
     from io import BufferedReader
