@@ -119,7 +119,7 @@ def distance_bonds_pbc(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT least(substr(p_brand, -1), substr(p_type, 1, 1)) AS one, greatest(substr(p_brand, -1), substr(p_type, 1, 1)) AS two, p_partkey, p_size * 0.1 AS d FROM part)
-SELECT one, two, round(arg_max(d, p_partkey), 6) AS distance FROM t GROUP BY ALL""")
+SELECT one, two, round(CAST(arg_max(d, p_partkey) AS DOUBLE), 6) AS distance FROM t GROUP BY ALL""")
 def parse_cutoffs(spark, sf_dir):
     """The text of an option, made of all parts: it is parsed on the driver, where options are."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
