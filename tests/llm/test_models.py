@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bondflow.llm import monotone, ngrams, quality, urlfilter, winnowing
+from bondflow.llm import monotone, ngrams, quality, urlfilter
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,33 +105,3 @@ def test_a_bad_host_is_blocked_and_a_sparse_one_is_not(spark):
     seen = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, int(i % 10 == 0)) for i in range(600)] + [(999, 1)], "page_id bigint, bad int")
     got = {r["host"]: r["verdict"] for r in urlfilter.judge(pages, seen).collect()}
     assert got["bad.org"] == "block" and got["new.org"] == "allow" and got["h1.org"] == "allow"
-
-
-def test_fingerprints(spark):
-    body = [f"w{i}" for i in range(200)]
-    rows = [(1, " ".join(body)), (2, " ".join(["x"] + body[50:90] + ["y"])), (3, None), (4, ""), (5, "é"), (5, "é"), (6, "中文" * 30), (None, "n u l l"), (7, "z" * 100_000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as range")
-    got = winnowing.fingerprints(docs).collect()
-    assert len(got) == len(rows)
-    one, two = (set(x.split(":")[1] for x in next(r for r in got if r["doc_id"] == k)["fingerprint"].split()) for k in (1, 2))
-    assert one & two  # they share 40 units, more than WINDOW + K - 1
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    import hashlib
-
-    expected = []
-    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
-        t, n = t or "", n or ""
-        q = len(t) // 4
-        expected.append((str(i), len(t), hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()))
-    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(expected)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    assert winnowing.fingerprints(docs.limit(0)).count() == 0
-    assert winnowing.fingerprints(docs.limit(1)).count() == 1
-
-
-def test_selected_hashes_are_window_minima(spark):
-    text = " ".join("abcab"[i % 5] * (1 + i % 3) for i in range(60))
-    row = winnowing.with_selected(spark.createDataFrame([(text,)], "text string"), "text", "s").first()
-    v = [(x >> 31, (1 << 31) - 1 - (x & ((1 << 31) - 1))) for x in row["s"]]
-    places = [p for _, p in v]
-    assert places == sorted(places) and max(np.diff(places)) <= winnowing.WINDOW
