@@ -7,15 +7,18 @@ words whose association with the class is significant. Its score of every docume
 corrected for the classes' shares among the labelled rows, is that document's chance of
 being bad by its text alone.
 
-Hierarchy: chances are summed by path (section of a site), site and over all; each level's
-rate is drawn to that of the level above by a beta prior, whose strength is fitted per
-level by moments of the beta-binomial. A sparse path so takes its site's rate, a sparse
-site the global one. A document's final odds are its own odds times its path's posterior
-odds over the global odds. Sums are grouped with map-side partial sums.
+Hierarchy: labelled outcomes outside the held-out fifth are counted by path (section of a
+site), site and over all; each level's rate is drawn to that of the level above by a beta
+prior, whose strength is fitted per level by moments of the beta-binomial. A sparse path so
+takes its site's rate, a sparse site the global one. Nothing is counted twice: the prior of a
+path leaves the path's own pages out of its site, and a labelled document's posterior leaves
+its own label out. A document's final odds are its own odds by its text times its path's
+posterior odds over the global odds. Counts are grouped with map-side partial sums.
 
 Defined results: a null or wordless text has no word evidence; null sites and sections are
 groups of their own. Rows are judged one by one, so repeated rows get like results. With
-labels of fewer than two classes all documents get the labels' rate (0 without labels).
+labels of fewer than two classes all documents get the labels' rate (0 without labels). Several
+label rows of an id count each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,10 +132,15 @@ def logits(model: Model, column: pa.Array) -> np.ndarray:
     return np.clip(out, -12, 12)
 
 
+def learned(labels: DataFrame, key: str) -> DataFrame:
+    """(_id, bad) of the labels that may be learned from: outside the held-out fifth, nothing null. labels: (key, bad)."""
+    return labels.where(F.col(key).isNotNull() & F.col("bad").isNotNull() & ~held_out(key)).select(F.col(key).alias("_id"), F.col("bad").cast("int").alias("bad"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = 4000, most_chars: int = 20_000) -> tuple[Model | None, float]:
     """The classifier and the rate of bad documents, from labelled documents outside the held-out fifth. labels: (key, bad)."""
-    seen = labels.where(F.col(key).isNotNull() & F.col("bad").isNotNull() & ~held_out(key)).select(F.col(key).alias("_id"), F.col("bad").cast("int").alias("bad"))
-    counts = {r["bad"]: r["count"] for r in seen.groupBy("bad").count().collect()}
+    seen = learned(labels, key)
+    counts = {r["bad"]: r["n"] for r in seen.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 0.0
     if not 0 < rate < 1:
@@ -146,15 +154,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def levels(scored: DataFrame) -> DataFrame:
-    """(site, section, site_bad, section_bad): posterior rates from rows (site, section, p); nulls are values."""
-    sections, _ = shared.kept(scored.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("bad")), "sections")
+    """Adds site_bad, section_bad and all_bad, posterior rates of bad outcomes, to rows with site, section, own_n and own_bad (how many labels a row has, and how many bad ones); null sites and sections are values."""
+    sections, _ = shared.kept(scored.groupBy("site", "section").agg(F.sum("own_n").cast("double").alias("n"), F.sum("own_bad").cast("double").alias("bad")), "sections")
     sites = sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top, low = fitted(sites).first(), fitted(sections).first()
-    rate = float(top["rate"] or 0.0)
-    mean = lambda s, prior: (s * prior + F.col("bad")) / (s + F.col("n"))
-    sites = sites.select(F.col("site").alias("_site"), mean(F.lit(float(top["strength"])), F.lit(rate)).alias("site_bad"))
-    out = sections.join(sites, F.col("site").eqNullSafe(F.col("_site")))
-    return out.select("site", "section", "site_bad", mean(F.lit(float(low["strength"])), F.col("site_bad")).alias("section_bad"), F.lit(rate).alias("all_bad"))
+    top, low = fitted(sites.where("n > 0")).first(), fitted(sections.where("n > 0")).first()
+    rate, strong, weak = float(top["rate"] or 0.0), float(top["strength"] or 1e6), float(low["strength"] or 1e6)
+    sites = sites.select(F.col("site").alias("_site"), F.col("n").alias("site_n"), F.col("bad").alias("site_sum"))
+    known = sections.join(sites, F.col("site").eqNullSafe(F.col("_site"))).select(F.col("site").alias("_site"), F.col("section").alias("_section"), "n", "bad", "site_n", "site_sum")
+    known, _ = shared.kept(known, "levels")
+    mean = lambda strength, prior, bad, n: (strength * prior + bad) / (strength + n)
+    out = scored.join(known, F.col("site").eqNullSafe(F.col("_site")) & F.col("section").eqNullSafe(F.col("_section")))
+    others = mean(F.lit(strong), F.lit(rate), F.col("site_sum") - F.col("bad"), F.col("site_n") - F.col("n"))
+    return out.select(
+        *scored.columns,
+        mean(F.lit(strong), F.lit(rate), F.col("site_sum") - F.col("own_bad"), F.col("site_n") - F.col("own_n")).alias("site_bad"),
+        mean(F.lit(weak), others, F.col("bad") - F.col("own_bad"), F.col("n") - F.col("own_n")).alias("section_bad"),
+        F.lit(rate).alias("all_bad"),
+    )
 
 
 def judge(docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", key: str = "doc_id", text: str = "text", most_bad: float = 0.5, **options) -> DataFrame:
@@ -169,17 +185,16 @@ def judge(docs: DataFrame, labels: DataFrame, site: str = "source", section: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own)], names=["key", "site", "section", "logit"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(site).cast("string").alias("site"), F.col(section).cast("string").alias("section"), F.col(text).alias("text"))
-    scored, _ = shared.kept(rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, site string, section string, logit double"), "scored")
-    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
-    known, _ = shared.kept(levels(scored), "levels")
-    known = known.select(F.col("site").alias("_site"), F.col("section").alias("_section"), "site_bad", "section_bad", "all_bad")
-    out = scored.join(known, F.col("site").eqNullSafe(F.col("_site")) & F.col("section").eqNullSafe(F.col("_section")))
+    outcomes = learned(labels, key).groupBy("_id").agg(F.count("*").alias("own_n"), F.sum("bad").alias("own_bad"))
+    scored = rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, site string, section string, logit double")
+    scored = scored.join(outcomes, F.col("key") == F.col("_id"), "left").select("key", "site", "section", "logit", F.coalesce("own_n", F.lit(0)).alias("own_n"), F.coalesce("own_bad", F.lit(0)).alias("own_bad"))
+    scored, _ = shared.kept(scored, "scored")
     odds = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-6)) / F.greatest(1 - F.col(c), F.lit(1e-6)))
     final = 1 / (1 + F.exp(-(F.col("logit") + odds("section_bad") - odds("all_bad"))))
-    return out.select(F.col("key").alias(key), F.col("p").alias("text_bad"), "site_bad", "section_bad", (1 - final).alias("score"), (final < most_bad).alias("kept"))
+    return levels(scored).select(F.col("key").alias(key), (1 / (1 + F.exp(-F.col("logit")))).alias("text_bad"), "site_bad", "section_bad", (1 - final).alias("score"), (final < most_bad).alias("kept"))
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """judge() with bad labels from quality and toxic, the source as site and the language as its section."""
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    return judge(docs, labels.select("doc_id", bad.cast("int").alias("bad")), **options)
+    return judge(docs, labels.select(F.col("doc_id").alias(options.get("key", "doc_id")), bad.cast("int").alias("bad")), **options)

@@ -77,10 +77,54 @@ def test_quality_of_odd_rows(spark):
     assert quality.report(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_levels_shrink_sparse_sites(spark):
-    rows = [("big", "a", 0.9)] * 200 + [("small", "a", 1.0)] + [(f"s{i}", "a", 0.1) for i in range(50) for _ in range(20)]
-    got = {r["site"]: r for r in quality.levels(spark.createDataFrame(rows, "site string, section string, p double")).collect()}
-    assert got["big"]["site_bad"] > 0.8 > got["small"]["site_bad"] > got["s1"]["site_bad"]
+def level_rows(rates, pages, seed=1):
+    """Rows of sites with true rates, one section each."""
+    draw = np.random.default_rng(seed)
+    return [(f"s{i}", "a", 1, int(x)) for i, r in enumerate(rates) for x in draw.random(pages) < r]
+
+
+@pytest.mark.parametrize(("pages", "low", "high"), [(5, 0.235, 0.255), (40, 0.196, 0.304), (200, 0.165, 0.335)])
+def test_levels_shrink_sites_by_their_size(spark, pages, low, high):
+    rates = [0.15, 0.35] * (1000 if pages == 5 else 100)
+    rows = level_rows(rates, pages) + [("new", "a", 0, 0), ("s1", "empty", 0, 0), ("s1", None, 0, 0), (None, "a", 0, 0)]
+    df = spark.createDataFrame(rows, "site string, section string, own_n int, own_bad int")
+    got = quality.levels(df).groupBy("site", "section").agg(F.avg("section_bad").alias("m"), F.first("all_bad").alias("all")).collect()
+    by = {(r["site"], r["section"]): r["m"] for r in got}
+    means = [np.mean([by[f"s{i}", "a"] for i in range(k, len(rates), 2)]) for k in (0, 1)]
+    assert means[0] < low and means[1] > high
+    assert by["new", "a"] == by[None, "a"] == pytest.approx(got[0]["all"])
+    assert by["s1", "empty"] == by["s1", None]  # both take what the site's other section says
+
+
+def test_levels_leave_own_labels_out(spark):
+    rows = [("x", "a", 1, 1), ("x", "a", 1, 0), ("y", "a", 1, 0), ("y", "a", 1, 0), ("y", "b", 0, 0)]
+    got = quality.levels(spark.createDataFrame(rows, "site string, section string, own_n int, own_bad int")).orderBy("site", "section", "own_bad").collect()
+    assert got[0]["section_bad"] > got[1]["section_bad"]  # the good page sees the bad one, not the other way round
+    assert got[2]["site_bad"] == got[3]["site_bad"]
+
+
+def test_a_bad_site_moves_the_verdict_on_a_neutral_text(spark):
+    draw = np.random.default_rng(3)
+    say = lambda bad: " ".join(draw.choice(["spam", "buy", "now"] if bad else ["the", "calm", "sea"]) if draw.random() < 0.25 else draw.choice(["one", "two", "six"]) for _ in range(30))
+    docs, labels = [], []
+    for i in range(1200):
+        site = i % 12
+        bad = bool(draw.random() < (0.8 if site < 3 else 0.1))
+        docs.append((i, say(bad), f"site{site}", "en"))
+        labels.append((i, int(not bad), 0))
+    docs += [(5000, "one two six", "site0", "en"), (5001, "one two six", "site9", "en"), (5002, "one two six", "unseen", "en")]
+    got = {r["doc_id"]: r for r in quality.report(spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert got[5000]["text_bad"] == got[5001]["text_bad"]
+    assert got[5000]["section_bad"] > 0.6 > 0.25 > got[5001]["section_bad"]
+    assert got[5000]["score"] < got[5002]["score"] < got[5001]["score"]
+
+
+def test_site_posteriors_do_not_harm_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.report(docs, labels).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    bad = np.array([r["quality"] == 0 or r["toxic"] == 1 for r in out])
+    loss = lambda p: -np.log(np.clip(np.where(bad, p, 1 - p), 1e-6, 1)).mean()
+    assert loss(np.array([1 - r["score"] for r in out])) <= loss(np.array([r["text_bad"] for r in out])) + 0.01
 
 
 def test_urls(spark):
