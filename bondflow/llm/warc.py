@@ -24,6 +24,7 @@ record and reads none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +37,8 @@ from bondflow.llm import linededup, shared
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
+#: What a revisit with the payload of another record is called
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -50,7 +53,13 @@ def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
     slice_bits = 1 << int(max(1 << 20, min(1 << 28, shared.input_bytes(rows) // 32)) // linededup.SLICES).bit_length()
     found = rows.select(hashed.alias("h"), "id", "digest").where("h is not null")
     sent = rows.sparkSession.sparkContext.broadcast(linededup.seen_twice(found, slice_bits))
-    groups, _ = shared.kept(found.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("original")).where("n > 1 and original is not null").select("digest", "original"), "repeats")
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array(linededup.test(twice, *linededup.bits(batch.column(0).to_numpy(), slice_bits)))).select([1, 2])
+
+    maybe = found.mapInArrow(suspects, f"id {rows.schema['id'].dataType.simpleString()}, digest string")
+    groups, _ = shared.kept(maybe.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("original")).where("n > 1 and original is not null").select("digest", "original"), "repeats")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
@@ -67,8 +76,8 @@ def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return several.unionByName(alone)
 
 
-def record(id_: Column, url: Column, payload: Column, size: Column, digest: Column, original: Column) -> Column:
-    """The text of a record from its magic up to its closing blank lines."""
+def record(id_: Column, url: Column, payload: Column, size: Column, digest: Column, original: Column, date: str) -> Column:
+    """The text of a record from its magic up to its closing blank lines; date as 2026-01-31T00:00:00Z."""
     revisit = original.isNotNull()
     length = F.when(revisit, F.lit(0)).otherwise(size)
     escaped = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
@@ -79,7 +88,9 @@ def record(id_: Column, url: Column, payload: Column, size: Column, digest: Colu
         F.lit(MAGIC),
         field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         optional(field("WARC-Record-ID", urn(id_))),
+        field("WARC-Date", F.lit(date)),
         optional(field("WARC-Refers-To", urn(original))),
+        F.when(revisit, field("WARC-Profile", F.lit(PROFILE))).otherwise(F.lit("")),
         optional(field("WARC-Target-URI", escaped)),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         field("X-Payload-Length", size.cast("string")),
@@ -90,14 +101,15 @@ def record(id_: Column, url: Column, payload: Column, size: Column, digest: Colu
     )
 
 
-def write(df: DataFrame, path: str, id_: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 1000, most_records: int = 20_000) -> None:
-    """Writes a record for each row to files under path."""
+def write(df: DataFrame, path: str, id_: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 1000, most_records: int = 20_000, date: str | None = None) -> None:
+    """Writes a record for each row to files under path; date: when the rows were fetched, now if not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = classify(df.select(F.col(id_).alias("id"), F.col(url).alias("url"), F.col(payload).alias("payload")), least_bytes)
-    text = rows.select(record(*(F.col(c) for c in ("id", "url", "payload", "bytes", "digest", "original"))).alias("value"))
+    text = rows.select(record(*(F.col(c) for c in ("id", "url", "payload", "bytes", "digest", "original")), date).alias("value"))
     text.write.option("lineSep", GAP).option("maxRecordsPerFile", most_records).text(path)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each piece between magics: file, part (start of the task's part), seq (order in the part), body, and the file's size."""
     text = spark.read.option("lineSep", MAGIC).text(path)
     meta = F.col("_metadata")
@@ -134,15 +146,20 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("whole", (F.col("length") + F.col("head_bytes") + 8 <= F.col("size")))
     rows = rows.withColumn("sha1", F.when(F.col("whole"), F.sha1(own))).drop("body")
     rows, path = shared.kept(rows, "pieces")
+    next_ = F.col("place") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4
+    found, _ = shared.kept(placed(rows).select("file", "place", next_.alias("next"), "file_size", "size", "whole", "sha1", *CANDIDATE), "candidates")
+    shared.delete(spark, path)
+    return found
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of pieces (file, part, seq, size) with their place in the file: what the parts before and the pieces before in the part take up."""
     step = F.col("size") + len(MAGIC)
     parts = rows.groupBy("file", "part").agg(F.sum(step).alias("total"))
     parts = parts.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     before = F.coalesce(F.sum(step).over(Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("inside", before).join(parts, ["file", "part"])
-    rows = rows.withColumn("place", F.col("base") + F.col("inside") - len(MAGIC)).where("place >= 0")
-    found, _ = shared.kept(rows.select("file", "place", (F.col("place") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4).alias("next"), "file_size", "size", "seq", "whole", "sha1", *CANDIDATE), "candidates")
-    shared.delete(spark, path)
-    return found
+    return rows.withColumn("place", F.col("base") + F.col("inside") - len(MAGIC)).where("place >= 0")
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -182,11 +199,18 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def _joined(spark: SparkSession, path: str, found: DataFrame, records: DataFrame) -> DataFrame:
-    """Payloads of records, put together from their pieces; a second read of the archive."""
-    own = records.select("file", F.col("place").alias("record"), "head_bytes", "length", "next")
-    inside = own.join(found.select("file", "place", "seq"), "file").where("place >= record and place < next")
-    bodies = pieces(spark, path).select(F.col("file").alias("_file"), F.col("seq").alias("_seq"), "body")
-    parts = inside.join(bodies, (F.col("file") == F.col("_file")) & (F.col("seq") == F.col("_seq")))
+    """Payloads of records, put together from their pieces; a second read of the archives that hold them.
+
+    Pieces are known by their place, which does not depend on how a read is cut into tasks. A
+    piece belongs to the last record that begins at or before it in the file.
+    """
+    files = records.select("file").distinct()
+    own = records.select("file", "place", F.struct(F.col("place").alias("record"), "head_bytes", "length", "next").alias("own"))
+    marked = found.join(files, "file", "left_semi").select("file", "place").join(own, ["file", "place"], "left")
+    so_far = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.select("file", "place", F.last("own", ignorenulls=True).over(so_far).alias("r")).select("file", "place", "r.*").where("place < next")
+    bodies, _ = shared.kept(pieces(spark, path).join(files, "file", "left_semi").withColumn("size", F.octet_length("body").cast("bigint")), "bodies")
+    parts = inside.join(placed(bodies).select("file", "place", "body"), ["file", "place"])
     magic = F.lit(MAGIC).cast("binary")
     whole = parts.groupBy("file", "record", "head_bytes", "length").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("pieces"))
     text = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, magic, x["body"]))
@@ -196,24 +220,26 @@ def _joined(spark: SparkSession, path: str, found: DataFrame, records: DataFrame
 def round_trip(df: DataFrame, id_: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes df's records to the shared folder, reads them back, and gives id, payload_bytes, payload_digest, record_type and refers_to of each.
 
-    Responses' bytes and digest are those of the payload as read; a revisit's are its
-    response's. A digest that differs from the header's is an error.
+    Bytes and digest are those of the payload as read, of a revisit's those of the response it
+    names. A response that differs from the digest in its header is an error, and so is a
+    revisit that names no response with its digest. Columns other than the three are ignored.
     """
     spark = df.sparkSession
     path = shared.new_path(spark, "warc")
     write(df, path, id_, url, payload)
     kind = df.schema[id_].dataType
     number = lambda c: F.regexp_extract(c, r"^<urn:row:(.*)>$", 1).try_cast(kind)
-    out = read(spark, path, payloads=False).select(
-        number("record_id").alias(id_),
-        F.when(F.col("type") == "revisit", F.col("payload_length")).otherwise(F.col("length")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", F.regexp_replace("digest", "^sha1:", "")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        number("refers_to").alias("refers_to"),
-        F.col("digest").alias("_said"),
-    )
-    right = F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("_said")
-    return out.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast(T.StringType()))).drop("_said")
+    records, _ = shared.kept(read(spark, path, payloads=False).select("type", "record_id", "refers_to", "digest", "length", F.concat(F.lit("sha1:"), "payload_sha1").alias("found")), "records")
+    wrong = lambda what: F.raise_error(F.lit(what)).cast(T.StringType())
+    out = lambda length, digest: (number("record_id").alias(id_), length.alias("payload_bytes"), F.substring(digest, 6, 40).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    responses = records.where("type <> 'revisit'")
+    own = responses.select(*out(F.col("length"), F.when(F.col("found") == F.col("digest"), F.col("found")).otherwise(wrong("a payload differs from its digest"))))
+    revisits = records.where("type = 'revisit'").select("type", "record_id", "refers_to", "digest")
+    named = revisits.select(F.col("refers_to").alias("named")).distinct()
+    targets = responses.join(named, F.col("record_id") == F.col("named"), "left_semi").select(F.col("record_id").alias("target"), F.col("found").alias("target_digest"), F.col("length").alias("target_length")).distinct()
+    met = revisits.join(targets, (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
+    theirs = met.select(*out(F.col("target_length"), F.coalesce("target_digest", wrong("a revisit names no response with its digest"))))
+    return own.unionByName(theirs)
 
 
 #: DuckDB's equivalent of round_trip() over pages.

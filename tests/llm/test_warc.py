@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from bondflow.llm import shared, warc
 
 
@@ -36,3 +38,15 @@ def test_a_broken_header_ends_the_chain(spark):
     rows.write.option("lineSep", warc.GAP).text(path)
     found = warc.read(spark, path).collect()
     assert [r["length"] for r in found if r["length"] is not None] == [2]
+
+
+def test_a_revisit_needs_its_response(spark, monkeypatch):
+    rows = [(i, "u", "same " * 300) for i in range(4)] + [(9, "v", "other")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages.selectExpr("*", "1 as file", "2 as digest")).collect()}
+    digest = got[3][1]
+    assert got == {3: (1500, digest, "response", None), 9: (5, got[9][1], "response", None)} | {i: (1500, digest, "revisit", 3) for i in range(3)}
+    read = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a, **k: read(*a, **k).where("record_id <> '<urn:row:3>'"))
+    with pytest.raises(Exception, match="names no response"):
+        warc.round_trip(pages).collect()
