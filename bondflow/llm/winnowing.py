@@ -49,7 +49,7 @@ def _paired(values: Column, gap: int, combine) -> Column:
 
 
 def with_selected(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds an array of (place, hash) structs in the order of places."""
+    """Adds a struct of two arrays, places and hashes, in the order of places."""
     least = lambda x, y: F.least(x, y)  # noqa: E731 (nulls don't count)
     df = df.withColumn("_h", F.transform(F.regexp_extract_all(F.col(text), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u)))
     n = F.size("_h")
@@ -72,7 +72,7 @@ def with_selected(df: DataFrame, text: str, out: str) -> DataFrame:
     place = lambda s: F.when(s + WINDOW - 1 < m, F.when(F.get("_g", s + WINDOW - 1) == F.get("_m", s), s + WINDOW - 1)).otherwise(F.lit(None))
     rightmost = lambda s: F.coalesce(place(s), (s + F.size(F.slice("_g", s + 1, WINDOW)) - F.array_position(F.reverse(F.slice("_g", s + 1, WINDOW)), F.get("_m", s))).cast("int"))
     df = df.withColumn("_p", F.array_distinct(F.transform("_s", rightmost)))
-    return df.withColumn(out, F.transform("_p", lambda p: F.struct(p.alias("place"), F.get("_g", p).alias("hash")))).drop("_g", "_m", "_s", "_p", "_moved", "_goes")
+    return df.withColumn(out, F.struct(F.col("_p").alias("places"), F.transform("_p", lambda p: F.get("_g", p)).alias("hashes"))).drop("_g", "_m", "_s", "_p", "_moved", "_goes")
 
 
 def _at(values: str, ahead: int) -> Column:
@@ -81,12 +81,13 @@ def _at(values: str, ahead: int) -> Column:
 
 
 def hashes(selected: Column) -> Column:
-    return F.array_distinct(selected.getField("hash"))
+    return F.array_distinct(selected.getField("hashes"))
 
 
 def written(selected: Column) -> Column:
     """The fingerprint as text: `place:hash` pairs, places in decimal, hashes in hexadecimal."""
-    return F.array_join(F.transform(selected, lambda v: F.concat(v["place"].cast("string"), F.lit(":"), F.lower(F.hex(v["hash"])))), " ")
+    pair = lambda place, h: F.concat(place.cast("string"), F.lit(":"), F.lower(F.hex(h)))
+    return F.array_join(F.zip_with(selected.getField("places"), selected.getField("hashes"), pair), " ")
 
 
 def likeness(a: str, b: str) -> Column:

@@ -34,7 +34,7 @@ def chosen(hashes):
 def selections(spark, texts):
     """Of each text what the operator selects, and what brute force over the same unit hashes does."""
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r["i"]: [(x["place"], x["hash"]) for x in r["s"]] for r in winnowing.with_selected(df, "text", "s").collect()}
+    got = {r["i"]: list(zip(r["s"]["places"], r["s"]["hashes"], strict=True)) for r in winnowing.with_selected(df, "text", "s").collect()}
     cut = [units(t) for t in texts]
     flat = spark.createDataFrame([(i, u) for i, u in enumerate(cut)], "i int, u array<string>").withColumn("u", F.transform("u", lambda x: F.xxhash64(x)))
     two = lambda c, d: F.transform(F.sequence(F.lit(0), F.size(c) - d - 1), lambda i: F.xxhash64(F.get(c, i), F.get(c, i + d)))
