@@ -19,8 +19,8 @@ the smallest. Single characters throughout would cost several times the budget i
 A fingerprint is a text of `place:hash` pairs in the order of places; likeness of two is
 the Jaccard similarity of their sets of hashes, 1 if both are empty.
 
-The next document in the order of ids comes from a window over ranges of ids of about
-`range_bytes` each: range ends are approximate quantiles, an id with more rows than a range
+The next document in the order of ids comes from a window over ranges of ids of at most
+`rows_a_range` rows or so, four or more to a shuffle partition: range ends are approximate quantiles, an id with more rows than a range
 should hold is split further by a hash of the text, and the first document of the next range
 stands in for the end of each range. Texts are shuffled once.
 
@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 K, WINDOW = 4, 12
 SHORT, FAR, CUTS = 24, 63, "aeiouAEIOU"
 UNITS = rf"\S{{1,{SHORT}}}+(?!\S)|[^\s{CUTS}]{{0,{FAR}}}+[{CUTS}]|\S"
-ROW_BYTES, RANGE_BYTES = 4096, 64 << 20
+ROWS_A_RANGE = 1 << 14
 
 
 def _paired(values: Column, gap: int, combine) -> Column:
@@ -114,6 +114,7 @@ def with_next(docs: DataFrame, rows_a_range: int) -> DataFrame:
     if not isinstance(docs.schema["id"].dataType, T.NumericType):
         raise TypeError("ids must be numbers")
     total, nulls = docs.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    rows_a_range = max(1, min(rows_a_range, total // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))  # several a partition even them out
     ranges = max(1, total // rows_a_range)
     ends = docs.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 8 * ranges)).first()[0] or []
     often = docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_a_range).collect() if total > 2 * rows_a_range else []  # fewer of them than ranges
@@ -133,7 +134,7 @@ def with_next(docs: DataFrame, rows_a_range: int) -> DataFrame:
     return docs.withColumn("next", F.lead(F.struct("text", "s")).over(inside)).join(after, "range").withColumn("next", F.coalesce("next", "after")).drop("range", "after", "h")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_a_range: int = RANGE_BYTES // ROW_BYTES) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """For each row: key, n_chars, fingerprint, and those of the text with its last quarter replaced from the next document, with likenesses."""
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(with_selected(docs, "text", "s"), rows_a_range)
