@@ -38,7 +38,7 @@ SPACE = "▁"
 class Agenda:
     """Encoder and decoder for one BPE model."""
 
-    def __init__(self, model: bytes, remember: int = 200_000):
+    def __init__(self, model: bytes, remember: int = 300_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
