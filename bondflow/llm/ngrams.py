@@ -2,20 +2,24 @@
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end a text.
 Level 1 holds the training vocabulary: word hashes in order, which give the words'
-numbers, and their counts. Level 2 holds each context's successors: monotone pointers give
-the range of a context, and a successor's number is stored relative to its context
-(context times vocabulary size plus word, which is monotone), so looking one up is a
-search inside the context's range. Beside it lies its smoothed probability in 8 bits, one
-of 256 equal steps between its part's least and greatest log10 probability.
+numbers, their counts, and the counts' running sums. Level 2 holds each context's
+successors: monotone pointers give the range of a context, and a successor's number is
+stored relative to its context (context times vocabulary size plus word, which is
+monotone), so looking one up is a search inside the context's range. Beside it lies its
+smoothed probability in 8 bits, one of 256 equal steps between its part's least and
+greatest log10 probability. The end is also the context at a text's start.
 
 Probabilities are those of a hierarchical Dirichlet prior: with n the bigram's count and
 c the context's, (n + mu p1(w)) / (c + mu), where p1(w) = (c(w) + 1) / (N + V + 1); pairs
 that were not seen get mu p1(w) / (c + mu), those after an unknown word p1(w).
 
-Both levels are cut by hash into parts whose number follows the input, so each part is
-built in one task of bounded size and a frequent word's successors spread over all parts.
-Tasks send a part's counts as one sorted block. Parts are files in the shared folder,
-memory-mapped where they are read; nothing grows on the driver but the parts' sizes.
+Level 1 is cut by hash, level 2 by ranges of contexts, each into parts whose number
+follows the input: a context takes as many of PART_2 places as it has tokens, and one that
+takes more than a part is cut by its successors' numbers (which follow their hashes, so the
+cuts are even). A part so has pointers for its own contexts alone, PART_2 at most, and is
+built in one task of bounded size. Tasks send a part's counts as one sorted block. Parts
+are files in the shared folder, memory-mapped where they are read, of which a worker keeps
+MOST_FILES open; the driver gets three numbers for each part of level 1.
 
 Word hashes have 64 bits: two words of a vocabulary of V are one with chance V^2 / 4e19.
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import functools
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,18 +44,19 @@ from pyspark.sql import functions as F
 from bondflow.llm import monotone, shared, textops
 
 END = np.uint64(0x243F6A8885A308D3)
-PART_1, PART_2 = 32 << 20, 16 << 20
+#: Bytes of input to a part of level 1, tokens to a part of level 2
+PART_1, PART_2 = 32 << 20, 4 << 20
+MOST_FILES = 4000
 
 
 @dataclass(frozen=True)
 class Model:
     path: str
     bits: int  # of level 1's part number
-    parts: int  # of level 2
+    places: int  # to a part of level 2
     tokens: int
     words: int
     texts: int
-    bases: tuple[int, ...]  # number of the first word of each part of level 1
     mu: float
 
 
@@ -115,8 +121,12 @@ def _part_1(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _part_2(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (textops.mix(keys) % np.uint64(parts)).astype(np.int64)
+def _groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part met and the places where it is."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(part[order[a]]), order[a:b]
 
 
 class Trie:
@@ -124,58 +134,69 @@ class Trie:
 
     def __init__(self, model: Model):
         self.model = model
-        self._open: dict[str, object] = {}
+        self._open: OrderedDict[str, object] = OrderedDict()
+        #: Number of the first word of each part of level 1, and tokens before it
+        self.bases, self.before = (np.load(f"{model.path}/{x}.npy", mmap_mode="r") for x in ("bases", "before"))
+        self.end = int(self.numbers(np.array([END]))[0][0])
 
     def file(self, name: str):
-        if name not in self._open:
+        if name in self._open:
+            self._open.move_to_end(name)
+        else:
             at = f"{self.model.path}/{name}"
             self._open[name] = np.load(f"{at}.npy", mmap_mode="r") if os.path.exists(f"{at}.npy") else monotone.Monotone(at) if os.path.exists(f"{at}.shape.npy") else None
+            if len(self._open) > MOST_FILES:
+                self._open.popitem(last=False)
         return self._open[name]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words (-1: unknown) and their counts (0: unknown); hashes are sorted."""
+        """Numbers of words (-1: unknown) and their counts (0: unknown)."""
         out, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        part = _part_1(hashes, self.model.bits)
-        for p in np.unique(part):
+        for p, own in _groups(_part_1(hashes, self.model.bits)):
             level = self.file(f"words-{p}")
             if level is None:
                 continue
-            own = np.flatnonzero(part == p)
-            place = level.find(hashes[own] - (np.uint64(int(p)) << np.uint64(64 - self.model.bits) if self.model.bits else np.uint64(0)))
+            place = level.find(hashes[own] - (np.uint64(p) << np.uint64(64 - self.model.bits) if self.model.bits else np.uint64(0)))
             known = place >= 0
-            out[own[known]] = place[known] + self.model.bases[p]
+            out[own[known]] = place[known] + self.bases[p]
             count[own[known]] = self.file(f"counts-{p}")[place[known]]
         return out, count
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of words by number; texts for the number after the last, the start of a text."""
-        out = np.full(len(numbers), self.model.texts, np.int64)
-        part = np.searchsorted(self.model.bases, numbers, side="right") - 1
-        for p in np.unique(part[numbers < self.model.words]):
-            own = np.flatnonzero((part == p) & (numbers < self.model.words))
-            out[own] = self.file(f"counts-{p}")[numbers[own] - self.model.bases[p]]
-        return out
+    def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words by number, and the tokens of all words before them."""
+        out, before = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+        for p, own in _groups(np.searchsorted(self.bases, numbers, side="right") - 1):
+            place = numbers[own] - self.bases[p]
+            out[own] = self.file(f"counts-{p}")[place]
+            before[own] = self.file(f"sums-{p}").value(place).astype(np.int64) + self.before[p]
+        return out, before
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.model.tokens + self.model.words + 1)
 
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """Level 2's parts of sorted pairs (context times V plus word); they never fall."""
+        v = np.uint64(self.model.words)
+        context, word = (keys // v).astype(np.int64), (keys % v).astype(np.int64)
+        distinct, times = np.unique(context, return_counts=True)
+        count, before = (np.repeat(x, times) for x in self.counts(distinct))
+        return (before + np.minimum((word / self.model.words * count).astype(np.int64), count - 1)) // self.model.places
+
     def smoothed(self, keys: np.ndarray) -> np.ndarray:
         """log10 probabilities of sorted pairs (context times V plus word); nan where the pair was not seen."""
         out = np.full(len(keys), np.nan)
-        part = _part_2(keys, self.model.parts)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.model.parts + 1))
-        for p in range(self.model.parts):
-            own = order[cuts[p] : cuts[p + 1]]
-            if not len(own) or (level := self.file(f"pairs-{p}")) is None:
+        for p, own in _groups(self.parts(keys)):
+            level = self.file(f"pairs-{p}")
+            if level is None:
                 continue
-            asked = keys[own]
-            context = (asked // np.uint64(self.model.words)).astype(np.int64)
-            distinct = np.concatenate([[0], np.flatnonzero(np.diff(context)) + 1])
-            times = np.diff(np.concatenate([distinct, [len(context)]]))
+            lowest, highest = self.file(f"contexts-{p}").tolist()
+            context = (keys[own] // np.uint64(self.model.words)).astype(np.int64)
+            inside = (context >= lowest) & (context <= highest)
+            own, context = own[inside], context[inside] - lowest
+            distinct, times = np.unique(context, return_counts=True)
             pointers = self.file(f"pointers-{p}")
-            first, end = (np.repeat(pointers.value(context[distinct] + i).astype(np.int64), times) for i in (0, 1))
-            place = level.find(asked, first, end)
+            first, end = (np.repeat(pointers.value(distinct + i).astype(np.int64), times) for i in (0, 1))
+            place = level.find(keys[own] - np.uint64(lowest * self.model.words), first, end)
             seen = place >= 0
             out[own[seen]] = self.file(f"levels-{p}")[self.file(f"codes-{p}")[place[seen]]]
         return out
@@ -187,14 +208,14 @@ def trie(model: Model) -> Trie:
 
 
 def numbered(own: Trie, column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of a batch: texts' ranges, and each token's number, count and context (number of the token before it, V at the start)."""
+    """Of a batch: texts' ranges, and each token's number, count and context (number of the token before it, the end's at the start)."""
     h, at = batch_tokens(column)
     distinct, back = np.unique(h, return_inverse=True)
     number, count = own.numbers(distinct)
     number, count = number[back], count[back]
     context = np.empty(len(number), np.int64)
     context[1:] = number[:-1]
-    context[at[:-1]] = own.model.words
+    context[at[:-1]] = own.end
     return at, number, count, context
 
 
@@ -204,7 +225,7 @@ def fit(docs: DataFrame, mu: float = 400.0) -> Model:
     path = shared.local_path(shared.new_path(spark, "ngrams"))
     os.makedirs(path, exist_ok=True)
     size = shared.input_bytes(docs)
-    bits, parts = max(0, int(size // PART_1).bit_length()), int(size // PART_2) + 1
+    bits, places = max(0, int(size // PART_1).bit_length()), PART_2
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,14 +239,17 @@ def fit(docs: DataFrame, mu: float = 400.0) -> Model:
         low = np.uint64(p << (64 - bits)) if bits else np.uint64(0)
         monotone.build(f"{path}/words-{p}", keys - low, 1 << (64 - bits))
         monotone._save(f"{path}/counts-{p}.npy", n)
+        monotone.build(f"{path}/sums-{p}", (np.cumsum(n) - n).astype(np.uint64), int(n.sum()) + 1)
         ends = int(n[keys == END].sum())
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (p, len(keys), int(n.sum()), ends)], names=["part", "words", "tokens", "texts"])
 
     block = "part int, keys binary, more binary"
     found = {r["part"]: r for r in docs.select("text").mapInArrow(count_words, block).groupBy("part").applyInArrow(write_words, "part bigint, words bigint, tokens bigint, texts bigint").collect()}
-    words = [found[p]["words"] if p in found else 0 for p in range(1 << bits)]
-    bases = tuple(int(x) for x in np.concatenate([[0], np.cumsum(words)])[:-1])
-    model = Model(path, bits, parts, sum(r["tokens"] for r in found.values()), sum(words), sum(r["texts"] for r in found.values()), bases, mu)
+    for name, of in (("bases", "words"), ("before", "tokens")):
+        n = np.array([found[p][of] if p in found else 0 for p in range(1 << bits)], np.int64)
+        monotone._save(f"{path}/{name}.npy", np.cumsum(n) - n)
+    tokens_, words, texts = (sum(r[x] for r in found.values()) for x in ("tokens", "words", "texts"))
+    model = Model(path, bits, places, tokens_, words, texts, mu)
     if not model.words:
         return model
 
@@ -234,18 +258,19 @@ def fit(docs: DataFrame, mu: float = 400.0) -> Model:
         for batch in batches:
             _, number, _, context = numbered(own, batch.column(0))
             keys, n = np.unique(context.astype(np.uint64) * np.uint64(model.words) + number.astype(np.uint64), return_counts=True)
-            yield _blocks(_part_2(keys, parts), keys, n)
+            yield _blocks(own.parts(keys), keys, n)
 
     def write_pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, own, v = key[0].as_py(), trie(model), model.words
         keys, n = _merged(batches)
         context, word = (keys // np.uint64(v)).astype(np.int64), (keys % np.uint64(v)).astype(np.int64)
-        p1 = own.base(own.counts(word))
-        p2 = np.log10((n + mu * p1) / (own.counts(context) + mu))
+        p2 = np.log10((n + mu * own.base(own.counts(word)[0])) / (own.counts(context)[0] + mu))
         levels = np.linspace(p2.min(), p2.max(), 256)
         codes = np.rint((p2 - levels[0]) / max(levels[-1] - levels[0], 1e-9) * 255).astype(np.uint8)
-        monotone.build(f"{path}/pairs-{p}", keys, v * (v + 1))
-        monotone.build(f"{path}/pointers-{p}", np.searchsorted(context, np.arange(v + 2)).astype(np.uint64), len(keys) + 1)
+        lowest, highest = int(context[0]), int(context[-1])
+        monotone.build(f"{path}/pairs-{p}", keys - np.uint64(lowest * v), (highest - lowest + 1) * v)
+        monotone.build(f"{path}/pointers-{p}", np.searchsorted(context, np.arange(lowest, highest + 2)).astype(np.uint64), len(keys) + 1)
+        monotone._save(f"{path}/contexts-{p}.npy", np.array([lowest, highest]))
         monotone._save(f"{path}/levels-{p}.npy", levels)
         monotone._save(f"{path}/codes-{p}.npy", codes)
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64())], names=["part", "pairs"])

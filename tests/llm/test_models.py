@@ -1,9 +1,12 @@
+import itertools
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,17 @@ def test_scores_are_those_of_brute_force(spark, parts, monkeypatch):
         assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], rel=1e-9) and abs(g[6] - e[6]) <= 0.02 * e[2]
 
 
+def test_parts_of_the_trie_are_ranges_of_contexts(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "PART_2", 300)
+    texts = [(f"hot w{i} hot x{i % 7} y{i}",) for i in range(200)] + [(None,), ("é " * 30_000,)]
+    model = ngrams.fit(spark.createDataFrame(texts, "text string"))
+    ranges = sorted(tuple(np.load(p).tolist()) for p in pathlib.Path(model.path).glob("contexts-*.npy"))
+    assert sum(b - a + 1 for a, b in ranges) <= model.words + len(ranges)
+    hot = ngrams.Trie(model).numbers(ngrams.batch_tokens(pa.array(["hot"]))[0][:1])[0][0]
+    assert sum(a <= hot <= b for a, b in ranges) > 1  # a frequent word's successors are cut
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(ranges))
+
+
 def test_scores_without_training_rows(spark):
     out = ngrams.report(spark.createDataFrame([(None, "a")], "doc_id bigint, text string")).first()
     assert (out["n_known"], out["train_tokens"], out["base_score"], out["score"]) == (0, 0, 0.0, 0.0)
