@@ -9,9 +9,13 @@ a Bloom filter of keys seen once and, where that filter had them, in one of keys
 twice; the filters are cut into slices, and tasks' slices are merged slice by slice (a bit
 that two tasks' first filters share goes to the second). Only lines whose hash the second
 filter has are shuffled: they are counted by full key, and the keeper is chosen. A filter
-takes a bit for every `bytes_a_bit` of input up to `most_bits`, so what is sent to tasks
-is bounded; a filter that is too full for its input lets more lines through to the exact
-count and changes no result.
+takes a bit for every `bytes_a_bit` of input, however large; a filter that is too full for
+its input lets more lines through to the exact count and changes no result.
+
+Filters of up to `most_bits` are sent to all tasks. Beyond that none is: hashes are dealt
+by ranges of a mixed hash, each range with a pair of filters of `part_bits` that lives in one
+task, and suspected hashes are written and joined with the lines. A task sends a hash once
+however often it has it, so a hot line is a row a task; in the join Spark splits it.
 
 Defined results: a null or empty text is one empty line. Every row counts as a document;
 rows that repeat an id share its decisions, and a key whose documents all have null ids
@@ -99,13 +103,70 @@ def seen_twice(hashes: DataFrame, slice_bits: int) -> np.ndarray:
     return out
 
 
-def repeated(docs: DataFrame, key: str, text: str, least_chars: int, least_docs: int, bytes_a_bit: float, most_bits: int) -> DataFrame:
+def seen_twice_apart(hashes: DataFrame, parts: int, part_bits: int) -> DataFrame:
+    """(h): the hashes that a filter of hashes seen at least twice has, by `parts` pairs of filters of `part_bits`, none of which leaves its task."""
+    slice_bits = max(8, part_bits // SLICES)
+
+    @textops.lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n in distinct(batch.column(0).to_numpy() for batch in batches):
+            part = (textops.mix(h.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, n, part = h[order], n[order], part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), pa.array([h[a:b].tobytes()]), pa.array([(n[a:b] > 1).tobytes()])], names=["part", "h", "again"])
+
+    def suspect(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = (np.zeros((SLICES, slice_bits // 8), np.uint8) for _ in range(2))
+        seen = []
+        for batch in batches:
+            for h, again in zip(batch.column(1), batch.column(2), strict=True):
+                h, again = np.frombuffer(h.as_py(), np.int64), np.frombuffer(again.as_py(), bool)
+                add(once, twice, np.concatenate([h, h[again]]), slice_bits)
+                seen.append(h)
+        h = np.unique(np.concatenate(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(h[test(twice, *bits(h, slice_bits))])], names=["h"])
+
+    dealt = hashes.select("h").mapInArrow(deal, "part bigint, h binary, again binary")
+    return dealt.groupBy("part").applyInArrow(suspect, "h bigint")
+
+
+def distinct(blocks: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct hashes of blocks and how often they occur; again from the start whenever there are `most` of them."""
+    h, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for block in blocks:
+        h, back = np.unique(np.concatenate([h, block]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n, np.ones(len(block), np.int64)]), len(h)).astype(np.int64)
+        if len(h) >= most:
+            yield h, n
+            h, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(h):
+        yield h, n
+
+
+def suspects_apart(found: DataFrame, wanted: int, part_bits: int) -> DataFrame:
+    """The rows of found whose hash h a filter of `wanted` bits in all suspects."""
+    twice, _ = shared.kept(seen_twice_apart(found, -(-wanted // part_bits), part_bits), "suspects")
+    return found.join(twice, "h", "left_semi")
+
+
+def repeated(docs: DataFrame, key: str, text: str, least_chars: int, least_docs: int, bytes_a_bit: float, most_bits: int, part_bits: int) -> DataFrame:
     """(id, line): the keys that each id loses."""
-    wanted = min(most_bits, max(1 << 20, int(shared.input_bytes(docs) / bytes_a_bit)))
-    slice_bits = 1 << int(np.ceil(np.log2(wanted / SLICES)))
+    wanted = max(1 << 20, int(shared.input_bytes(docs) / bytes_a_bit))
     found = keys(docs, key, text, least_chars)
-    sent = docs.sparkSession.sparkContext.broadcast(seen_twice(found, slice_bits))
-    kind = docs.schema[key].dataType.simpleString()
+    suspected = suspects_apart(found, wanted, part_bits).select("id", "line") if wanted > most_bits else suspects_sent(found, wanted)
+    lines, _ = shared.kept(suspected, "lines")
+    chosen = lines.groupBy("line").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where((F.col("n") >= least_docs) & F.col("keeper").isNotNull()).select("line", "keeper")
+    chosen, _ = shared.kept(chosen, "chosen")  # written, so that Spark can split a hot line in the join
+    return lines.join(chosen, "line").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "line")
+
+
+def suspects_sent(found: DataFrame, wanted: int) -> DataFrame:
+    """(id, line) of the rows of found whose hash a filter of `wanted` bits, sent to all tasks, suspects."""
+    slice_bits = 1 << int(np.ceil(np.log2(wanted / SLICES)))
+    sent = found.sparkSession.sparkContext.broadcast(seen_twice(found, slice_bits))
+    kind = found.schema["id"].dataType.simpleString()
 
     @textops.lean
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +175,12 @@ def repeated(docs: DataFrame, key: str, text: str, least_chars: int, least_docs:
             s, a, b = bits(batch.column(2).to_numpy(), slice_bits)
             yield batch.filter(pa.array(test(twice, s, a, b))).select([0, 1])
 
-    lines, _ = shared.kept(found.mapInArrow(suspects, f"id {kind}, line string"), "lines")
-    chosen = lines.groupBy("line").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where((F.col("n") >= least_docs) & F.col("keeper").isNotNull()).select("line", "keeper")
-    chosen, _ = shared.kept(chosen, "chosen")  # written, so that Spark can split a hot line in the join
-    return lines.join(chosen, "line").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "line")
+    return found.mapInArrow(suspects, f"id {kind}, line string")
 
 
-def rewrite(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, bytes_a_bit: float = 8.0, most_bits: int = 1 << 28) -> DataFrame:
+def rewrite(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, bytes_a_bit: float = 8.0, most_bits: int = 1 << 28, part_bits: int = 1 << 24) -> DataFrame:
     """For each document: row (a struct of all its columns), kept_text, n_lines (before) and n_dropped."""
-    gone = repeated(docs, key, text, least_chars, least_docs, bytes_a_bit, most_bits)
+    gone = repeated(docs, key, text, least_chars, least_docs, bytes_a_bit, most_bits, part_bits)
     gone = gone.groupBy("id").agg(F.collect_set("line").alias("gone"))
     place = docs.columns.index(text)
     rows = docs.select(F.col(key).alias("_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bondflow.llm import linededup
 
@@ -26,14 +28,14 @@ def brute(docs, least=20, least_docs=3):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 10])
-def test_lines_are_those_of_brute_force(spark, most_bits):
+@pytest.mark.parametrize(("most_bits", "part_bits"), [(1 << 28, 1 << 24), (1 << 10, 1 << 24), (1 << 10, 1 << 17), (1 << 10, 1 << 14)])
+def test_lines_are_those_of_brute_force(spark, most_bits, part_bits):
     draw = random.Random(5)
     pool = ["A line that is long enough %d" % i for i in range(12)] + ["short", "", "  \t", "Zeile mit Ümlaut und LÄNGE"]
     vary = lambda x: draw.choice(["", " ", "\t"]) + draw.choice([x, x.upper(), x]) + draw.choice(["", "\r", " "])
     docs = [(i, "\n".join(vary(draw.choice(pool)) if draw.random() < 0.5 else f"unique line number {draw.random()}" for _ in range(draw.randrange(8)))) for i in range(40)]
     docs += [(7, docs[7][1]), (None, pool[0]), (50, None), (51, ""), (52, "\n"), (53, "long " * 20_000 + "\n" + pool[1])]
-    out = linededup.report(spark.createDataFrame(docs, "doc_id bigint, text string"), most_bits=most_bits).collect()
+    out = linededup.report(spark.createDataFrame(docs, "doc_id bigint, text string"), most_bits=most_bits, part_bits=part_bits).collect()
     assert sorted(map(tuple, out), key=str) == brute(docs)
 
 
@@ -49,3 +51,17 @@ def test_clean_and_empty_tables(spark):
 def test_repeats_within_a_document_do_not_count(spark):
     docs = spark.createDataFrame([(1, "\n".join(["the very same long line"] * 5)), (2, "the very same long line")], "doc_id bigint, text string")
     assert [r["n_dropped"] for r in linededup.report(docs).collect()] == [0, 0]
+
+
+def test_filters_that_stay_in_their_tasks_suspect_repeats_and_few_others(spark):
+    single, double = [(i,) for i in range(60_000)], [(-i,) for i in range(1, 2001)] * 2
+    hashes = spark.createDataFrame(single + double + [(10**9,)] * 20_000, "i bigint").repartition(6).select(F.xxhash64("i").alias("h"), "i")
+    got = {r["i"] for r in linededup.suspects_apart(hashes, 1 << 20, 1 << 17).distinct().collect()}
+    assert got >= {-i for i in range(1, 2001)} | {10**9}
+    assert len(got) < 2001 + 3000  # 17 bits a hash; two places a hash
+
+
+def test_distinct_counts():
+    blocks = [np.array(x, np.int64) for x in ([3, 1, 3], [], [1, 7], [9], [9])]
+    got = [(h.tolist(), n.tolist()) for h, n in linededup.distinct(iter(blocks), 3)]
+    assert got == [([1, 3, 7], [2, 2, 1]), ([9], [2])]
