@@ -41,17 +41,23 @@ GAP = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def classify(rows: DataFrame, least_bytes: int = 1000, most_bits: int = 1 << 28) -> DataFrame:
     """Adds bytes, digest and original (the id that a revisit refers to, else null) to rows of (id, url, payload).
 
-    A Bloom filter of digests that occur twice, of a bounded size, parts rows that may share
-    their payload from the others: only the former are shuffled, with an exact join.
+    A Bloom filter of digests that occur twice, a bit for 32 bytes of input, parts rows that
+    may share their payload from the others: only the former are shuffled, with an exact
+    join. Where the filter would have more than most_bits, which is what is sent to tasks
+    at most, all digests are counted and all rows joined.
     """
     raw = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
     rows = rows.withColumn("bytes", F.octet_length(raw).cast("bigint")).withColumn("digest", F.sha1(raw))
     hashed = F.when(F.col("bytes") >= least_bytes, F.xxhash64("digest"))
-    slice_bits = 1 << int(max(1 << 20, min(1 << 28, shared.input_bytes(rows) // 32)) // linededup.SLICES).bit_length()
+    wanted = max(1 << 20, shared.input_bytes(rows) // 32)
     found = rows.select(hashed.alias("h"), "id", "digest").where("h is not null")
+    if wanted > most_bits:
+        several = rows.join(repeats(found.select("id", "digest")), (rows["digest"] == F.col("of")) & (rows["bytes"] >= least_bytes), "left").drop("of")
+        return several.withColumn("original", F.when(~F.col("id").eqNullSafe(F.col("original")), F.col("original")))
+    slice_bits = 1 << int(wanted // linededup.SLICES).bit_length()
     sent = rows.sparkSession.sparkContext.broadcast(linededup.seen_twice(found, slice_bits))
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
@@ -59,7 +65,7 @@ def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
             yield batch.filter(pa.array(linededup.test(twice, *linededup.bits(batch.column(0).to_numpy(), slice_bits)))).select([1, 2])
 
     maybe = found.mapInArrow(suspects, f"id {rows.schema['id'].dataType.simpleString()}, digest string")
-    groups, _ = shared.kept(maybe.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("original")).where("n > 1 and original is not null").select("digest", "original"), "repeats")
+    groups = repeats(maybe).withColumnRenamed("of", "digest")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
@@ -76,6 +82,12 @@ def classify(rows: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return several.unionByName(alone)
 
 
+def repeats(rows: DataFrame) -> DataFrame:
+    """(of, original): digests of several rows of (id, digest) and the largest id of each."""
+    counted = rows.groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.max("id").alias("original"))
+    return shared.kept(counted.where("n > 1 and original is not null").select("of", "original"), "repeats")[0]
+
+
 def record(id_: Column, url: Column, payload: Column, size: Column, digest: Column, original: Column, date: str) -> Column:
     """The text of a record from its magic up to its closing blank lines; date as 2026-01-31T00:00:00Z."""
     revisit = original.isNotNull()

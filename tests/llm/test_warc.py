@@ -50,3 +50,11 @@ def test_a_revisit_needs_its_response(spark, monkeypatch):
     monkeypatch.setattr(warc, "read", lambda *a, **k: read(*a, **k).where("record_id <> '<urn:row:3>'"))
     with pytest.raises(Exception, match="names no response"):
         warc.round_trip(pages).collect()
+
+
+def test_both_ways_of_finding_equal_payloads_agree(spark):
+    pages = [(i, "u", f"{'p' * 1200}{i % 5}") for i in range(40)] + [(i, "u", "short") for i in range(3)] + [(None, "u", "q" * 1001), (3, "u", "q" * 1001), (None, "u", "n" * 2000), (None, "u", "n" * 2000), (7, "u", None), (8, "u", "alone" * 500)]
+    rows = spark.createDataFrame(pages, "id bigint, url string, payload string")
+    sent, joined = (sorted(map(str, (r.asDict() for r in warc.classify(rows, most_bits=bits).select("id", "bytes", "digest", "original").collect()))) for bits in (1 << 28, 0))
+    assert sent == joined and len(sent) == len(pages)
+    assert sum("'original': None" not in x for x in sent) == 36
