@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -53,3 +54,51 @@ def test_table(spark, model):
         assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert sentencepieces.digests(docs.limit(0), model).count() == 0
     assert sentencepieces.encode(docs, model).where("doc_id = 1").first()["decoded"] == "The end"
+
+
+def test_new_words_merged_together_are_the_librarys(model):
+    own, draw = sentencepieces.Agenda(model, remember=300), random.Random(2)
+    letters = "ab the in\n\téß你好😀\x00�[]<0x0A>s>TH▁eraontioningschtst"
+    words = [["".join(draw.choice(letters) for _ in range(draw.randrange(1, draw.choice((5, 12, 62, 63, 64, 65, 200))))) for _ in range(200)] for _ in range(40)]
+    texts = [" ".join(w) for w in words] + [" ".join("x" * n for n in range(1, 130)), None, "", "a  b"]
+    for most in (1, 9, len(texts)):
+        ids = [i for first in range(0, len(texts), most) for i in own.encode_all(texts[first : first + most])]
+        own.agree(texts, ids)
+        own.agree_fresh()
+        assert len(own.known) <= 300
+    assert own.decode_all(ids) == [own.decode(i) for i in ids]
+
+
+def test_a_wrong_id_of_many_is_noticed(model):
+    own = sentencepieces.Agenda(model)
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(3)]
+    own.encode_all(texts)
+    (a, x), (b, y) = own.fresh[70:72]
+    own.fresh[70:72] = [(a, x + y), (b, b"")]  # the same ids in all, otherwise divided
+    with pytest.raises(ValueError, match="differ"):
+        own.agree_fresh()
+
+
+def test_new_words_take_about_the_librarys_time(model):
+    """A large corpus brings new words without end, so what they cost must not be many times a look-up."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("etaoinshrdlu") for _ in range(9 * 20_000)) for _ in range(3)]
+    texts = [" ".join(t[i : i + 9] for i in range(0, len(t), 9)) for t in texts]
+    ratios = []
+    for text in texts:
+        own = sentencepieces.Agenda(model)
+        began = time.process_time()
+        own.library.encode(text.split(" "), num_threads=1)
+        library = time.process_time() - began
+        began = time.process_time()
+        own.encode(text)
+        ratios.append((time.process_time() - began) / library)
+    assert min(ratios) < 2.5
+
+
+def test_slices_by_bytes(spark, model):
+    rows = [(i, None if i % 7 == 0 else " ".join(f"wörd{i}_{j}" for j in range(i % 50 * 20))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    whole = sentencepieces.digests(docs, model).orderBy("doc_id").collect()
+    assert len(whole) == 120 and sentencepieces.digests(docs, model, slice_bytes=1000).orderBy("doc_id").collect() == whole
+    assert sentencepieces.digests(docs, model, check="all").orderBy("doc_id").collect() == whole
