@@ -70,7 +70,7 @@ def crowd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize(("name", "row"), [("formula", (1, "C10000H10000O10000")), ("hmm_viterbi", (1, "0")), ("presence_signal", (1, "1"))])
+@pytest.mark.parametrize(("name", "row"), [("formula", (1, "C10000H10000O10000")), ("display_formula", (1, "C10000H10000O10000")), ("hmm_viterbi", (1, "0")), ("presence_signal", (1, "1"))])
 def test_a_crowd_makes_no_bonds(spark, crowd, name, row):
     assert [tuple(r) for r in queries.QUERIES[name](spark, crowd).collect()] == [row]
 
