@@ -86,7 +86,7 @@ def shuffled(elements, bonds, seed):
 
 def test_names_of_large_molecules_of_groups():
     draw = random.Random(6)
-    groups = [list(range(400 * k, 400 * k + 400)) + draw.sample(range(2000), 20) for k in range(5)]  # atoms of one group are twins
+    groups = [sorted({*range(400 * k, 400 * k + 400), *draw.sample(range(2000), 20)}) for k in range(5)]  # atoms of one group are twins
     elements = ["CHO"[i % 3] for i in range(2000)]
     code = np.concatenate([a * 2000 + b for a, b in graph.pairs_of(pa.scalar(groups, LISTS))])
     bonds = [(c // 2000, c % 2000, (c // 2000 + c % 2000) % 3 + 1) for c in code.tolist()]
