@@ -35,16 +35,18 @@ def rate_constants(species: DataFrame, reactions: DataFrame, cell: list, timeste
         raise ValueError("two times are needed")
     moles = volume(cell) * 1e-24 * AVOGADRO
     span = (times[1] - times[0]) * timestep * 1e-15
-    sides = reactions.select("reaction", "n", F.explode(F.split(F.split("reaction", "->")[0], r"\+")).alias("name"))
-    needs = sides.groupBy("reaction", "n", "name").agg(F.count("*").alias("order"))
+    # a reaction's text may name a hundred thousand reactants: rows of reactants hold 128 bits of its hash instead
+    keyed = reactions.select(F.xxhash64("reaction", "n").alias("one"), F.xxhash64("n", F.lit(1), "reaction").alias("two"), "reaction", "n")
+    sides = keyed.select("one", "two", F.explode(F.split(F.substring_index("reaction", "->", 1), r"\+")).alias("name"))
+    needs = sides.groupBy("one", "two", "name").agg(F.count("*").alias("order"))
     missing = needs.join(species.select("name").distinct(), "name", "left_anti").limit(1).collect()
     if missing:
         raise KeyError(missing[0]["name"])
-    wanted = needs.groupBy("reaction", "n").agg(F.count("*").alias("reactants"))
+    wanted = needs.groupBy("one", "two").agg(F.count("*").alias("reactants"))
     present = needs.join(species.where("n > 0").select("timestep", "name", F.col("n").alias("count")), "name")
-    logs = present.groupBy("reaction", "timestep").agg(F.sum(F.col("order") * F.ln(F.col("count") / moles)).alias("log"), F.count("*").alias("have"))
-    whole = logs.join(wanted.select("reaction", "reactants"), "reaction").where("have = reactants").select("reaction", "log")
-    most = whole.groupBy("reaction").agg(F.max("log").alias("most"))
-    sums = whole.join(most, "reaction").groupBy("reaction", "most").agg(F.sum(F.exp(F.col("log") - F.col("most"))).alias("rest"))
+    logs = present.groupBy("one", "two", "timestep").agg(F.sum(F.col("order") * F.ln(F.col("count") / moles)).alias("log"), F.count("*").alias("have"))
+    whole = logs.join(wanted, ["one", "two"]).where("have = reactants").select("one", "two", "log")
+    most = whole.groupBy("one", "two").agg(F.max("log").alias("most"))
+    sums = whole.join(most, ["one", "two"]).groupBy("one", "two", "most").agg(F.sum(F.exp(F.col("log") - F.col("most"))).alias("rest"))
     log_k = F.coalesce(F.ln("n") - math.log(moles * span) - F.col("most") - F.ln("rest"), F.lit(math.inf))
-    return wanted.join(sums, "reaction", "left").select("reaction", F.exp(log_k).alias("k"), (log_k / math.log(10)).alias("log10_k"))
+    return keyed.join(sums, ["one", "two"], "left").select("reaction", F.exp(log_k).alias("k"), (log_k / math.log(10)).alias("log10_k"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from bondflow.functions import names as fn
 from bondflow.operators import events, graph, matrix, naming, network, occupancy, rates, report, signals
 from bondflow.oracles import CELL, LIMIT, SELECTION, SPLIT, chain
-from bondflow.plans.testdata import ELEMENTS, analysis, frame_file, positions, written
+from bondflow.plans.testdata import ELEMENTS, analysis, frame_file, positions, shared_folder, written
 from bondflow.sources import text, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,8 +422,9 @@ kinds AS (SELECT reaction, count(*) AS kinds FROM need GROUP BY ALL),
 terms AS (SELECT reaction, need.n, s.frame, sum(o * ln(s.n / {LIMIT})) AS c, count(*) AS have FROM need JOIN species s USING (name) GROUP BY ALL),
 whole AS (SELECT reaction, n, c, max(c) OVER (PARTITION BY reaction) AS most FROM terms JOIN kinds USING (reaction) WHERE have = kinds) SELECT reaction, round((ln(n / ({LIMIT} * (1000 * 0.1 * 1e-15))) - most - ln(sum(exp(c - most)))) / ln(10), 6) AS log_k FROM whole GROUP BY reaction, n, most"""))
 def rate_constants(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    found = rates.rate_constants(a.species, events.frequencies(a.events), CELL, 0.1)
+    """Molecules, names, species and reactions are read several times: they are written once."""
+    a = analysis(spark, sf_dir, folder=f"{shared_folder(spark)}/rates-{uuid.uuid4().hex}")
+    found = rates.rate_constants(a._once("species", a.species), a._once("frequencies", events.frequencies(a.events)), CELL, 0.1)
     return found.select("reaction", F.round("log10_k", 6).alias("log_k"))
 
 

@@ -1,6 +1,7 @@
 """Molecules of groups: bonds that are never made unless they are printed."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bondflow import queries
-from bondflow.operators import graph, naming
+from bondflow.operators import graph, naming, rates
 from bondflow.plans.testdata import level
 
 LISTS = pa.list_(pa.list_(pa.int32()))
@@ -105,3 +106,15 @@ def test_arrays_name_as_dictionaries_do(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(naming, "SMALL", 0)
             assert naming.canonical(elements, bonds) == name
+
+
+def test_rates_of_an_event_of_many_reactants(spark):
+    many = 60_000  # their text, of 240 kB, was copied for each of them
+    sides = "+".join([*["Aa"] * many, *(f"B{i}" for i in range(20_000))])
+    species = spark.createDataFrame([(t, name, n) for t, n in ((0, 3), (1000, 5)) for name in ("Aa", "C", *(f"B{i}" for i in range(20_000)))], "timestep bigint, name string, n bigint")
+    found = rates.rate_constants(species, spark.createDataFrame([(sides + "->C", 4), ("C->Aa", 2)], "reaction string, n bigint"), [10.0, 10.0, 10.0], 0.1)
+    moles = 1000 * 1e-24 * rates.AVOGADRO
+    logs = [80_000 * math.log(n / moles) for n in (3, 5)]
+    expected = (math.log(4) - math.log(moles * 1000 * 0.1 * 1e-15) - max(logs) - math.log(sum(math.exp(x - max(logs)) for x in logs))) / math.log(10)
+    got = {len(r["reaction"]): r["log10_k"] for r in found.collect()}
+    assert got.keys() == {len(sides) + 3, 5} and math.isclose(got[len(sides) + 3], expected, rel_tol=1e-9)
